@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ledger as _ledger
+from tessera.llm import neardup as _neardup
 from tessera.runtime import load, materialise
 
 
@@ -37,4 +38,14 @@ def p4_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.read().select(F.col("first_id").alias("node_id"), F.col("n").alias("copies"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ledger": p4_ledger}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of similar nodes that are not copies."""
+    return _neardup.near_duplicates(load(spark, sf_dir, "nodes").select("id", "text")).select("id_a", "id_b")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node: its class of copies, its group of similar classes, and the links of its class."""
+    return _neardup.groups(load(spark, sf_dir, "nodes").select("id", "text"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups}
