@@ -76,21 +76,23 @@ def _cost(n: float, size: float, u: int, p: int, k: int, q: float) -> float:
     pmf = [math.exp(-lam)]
     for j in range(1, 40):
         pmf.append(pmf[-1] * lam / j)
-    same = [min(1.0, math.factorial(j) * (q * m) ** j) * pmf[j] for j in range(40)]  # both sets' segments hold the same j tokens
-    rows = (u + 1 - 2 * p) + p * (lam + 1)
+    meet = [min(1.0, math.factorial(j) * (q * m) ** j) for j in range(40)]  # the chance that j tokens of a segment are the same
+    rows = (u + 1 - 2 * p) + p * (lam + 1) if u + 1 > 2 * p else p * (lam + 1)
     pairs, skip = 0.0, (k / rest if rest else 0.0)
-    for j in range(40):
+    for j in range(39):
         left = max(0.0, pmf[j] - skip)
         skip = max(0.0, skip - pmf[j])
-        pairs += rest * left * same[j] * n
-        pairs += p * pmf[j] * (j + 1) * (same[j - 1] if j else 1.0) * n
+        pairs += rest * left * meet[j] * pmf[j] * n
+        # Of two sets that meet in a neighbourhood, either may hold one token more.
+        near = meet[j] * (pmf[j] + (j + 1) * pmf[j + 1])
+        pairs += p * near * (pmf[j] + (j + 1) * pmf[j + 1]) * n
     return n * (2.0 * rows + 0.05 * pairs)
 
 
 def allocate(sizes: dict[int, int], df: np.ndarray, threshold: Threshold, self_join: bool) -> Bands:
     """Bands with the cheapest allocation, from the number of sets of each size and the tokens counted in SLOTS slots."""
     total, count = float(df.sum()) or 1.0, max(1, sum(sizes.values()))
-    q = 8 * float((df.astype(np.float64) ** 2).sum()) / total**2  # texts of one language and subject share more
+    q = float((df.astype(np.float64) ** 2).sum()) / total**2
     bits = np.clip(np.round(UNIT * np.log2(count / np.maximum(df, 1.0))), 1, 10 * UNIT).astype(np.float64)
     cut = edges()
     lo, hi, ms, ps = [], [], [], []
@@ -100,9 +102,8 @@ def allocate(sizes: dict[int, int], df: np.ndarray, threshold: Threshold, self_j
         n = sum(c for s, c in sizes.items() if math.ceil(a * threshold.num / threshold.den) <= s < b)
         options = [
             (_cost(max(n, 1), 0.9 * b, u, p, k, q), p, k)
-            for p in range((u + 1) // 2 + 1)
-            for k in range(min(9, u + 2))
-            if u + 1 + k - p > 0
+            # Segments worth two pay only where all are: they are twice as large then, so that few hold a token or none.
+            for p, k in [(0, k) for k in range(min(9, u + 2))] + [(u // 2 + 1, (u + 1) % 2)]
         ]
         _, p, k = min(options)
         lo.append(a), hi.append(b), ms.append(u + 1 + k - p), ps.append(p)
