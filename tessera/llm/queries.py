@@ -5,11 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import history as _history
 from tessera.llm import ledger as _ledger
 from tessera.llm import neardup as _neardup
+from tessera.llm import pii as _pii
 from tessera.runtime import load, materialise
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pending note that repeats an accepted node, with the smallest id of those it repeats."""
+    nodes = load(spark, sf_dir, "nodes").select("id", "text")
+    pending = load(spark, sf_dir, "pending").select(F.col("id").alias("batch_id"), F.col("content").alias("text"))
+    history = _history.History.build(nodes)
+    return history.match(pending, nodes).select(F.col("batch_id").alias("pending_id"), "node_id")
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = load(spark, sf_dir, "nodes").select(F.lit("nodes").alias("tbl"), F.col("id").cast("string").alias("rec_id"), "text")
+    return nodes.unionByName(
+        load(spark, sf_dir, "pending").select(F.lit("pending").alias("tbl"), F.col("id").alias("rec_id"), F.col("content").alias("text"))
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mention of personal information in nodes and pending notes."""
+    return _pii.find(_notes(spark, sf_dir)).select("tbl", "rec_id", "kind", "nth")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node and pending note with typed placeholders in place of its mentions."""
+    return _pii.redacted(_notes(spark, sf_dir))
+
+
 def _ledger_of_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, _ledger.Ledger]:
     """Nodes with keys, and the ledger after two batches: what was learned on time, then the late and undated rows."""
     nodes = load(spark, sf_dir, "nodes")
@@ -48,4 +75,4 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.groups(load(spark, sf_dir, "nodes").select("id", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups}
