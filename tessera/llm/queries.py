@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import history as _history
+from tessera.llm import leakage as _leakage
 from tessera.llm import ledger as _ledger
 from tessera.llm import neardup as _neardup
 from tessera.llm import pii as _pii
+from tessera.llm import residue as _residue
 from tessera.runtime import load, materialise
 
 
@@ -75,4 +77,36 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.groups(load(spark, sf_dir, "nodes").select("id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and the evaluation items it leaks."""
+    return _leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks with the words matched and the words of the item."""
+    return _leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document more than half of whose text is residue."""
+    return _residue.residue(load(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of residue in every document."""
+    return _residue.scored(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
+    "p4_found": p4_found,
+    "p4_ledger": p4_ledger,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
+    "p7_found": p7_found,
+    "p7_coverage": p7_coverage,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+}
