@@ -11,6 +11,7 @@ from tessera.llm import ledger as _ledger
 from tessera.llm import neardup as _neardup
 from tessera.llm import pii as _pii
 from tessera.llm import residue as _residue
+from tessera.llm import subjects as _subjects
 from tessera.runtime import load, materialise
 
 
@@ -22,6 +23,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.match(pending, nodes).select(F.col("batch_id").alias("pending_id"), "node_id")
 
 
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = load(spark, sf_dir, "nodes")
+    chains = _subjects.fit_on(nodes, load(spark, sf_dir, "subject_labels"), load(spark, sf_dir, "subjects"))
+    return _subjects.assign(nodes, chains)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node and each subject that it speaks of."""
+    return _assigned(spark, sf_dir).select("node_id", "subject")
+
+
+def p2_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes speak of each subject, and the store's weight of it."""
+    return _subjects.composition(_assigned(spark, sf_dir))
+
+
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = load(spark, sf_dir, "nodes").select(F.lit("nodes").alias("tbl"), F.col("id").cast("string").alias("rec_id"), "text")
     return nodes.unionByName(
@@ -99,6 +116,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_composition": p2_composition,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
