@@ -9,6 +9,7 @@ from tessera.llm import history as _history
 from tessera.llm import leakage as _leakage
 from tessera.llm import ledger as _ledger
 from tessera.llm import neardup as _neardup
+from tessera.llm import packing as _packing
 from tessera.llm import pii as _pii
 from tessera.llm import residue as _residue
 from tessera.llm import subjects as _subjects
@@ -94,6 +95,16 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.groups(load(spark, sf_dir, "nodes").select("id", "text"))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document or piece, for each container size."""
+    return _packing.pack(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_specs"))
+
+
+def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, pieces, tokens and fill of each container size."""
+    return _packing.summary(p6_pack(spark, sf_dir), load(spark, sf_dir, "pack_specs"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and the evaluation items it leaks."""
     return _leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -124,6 +135,8 @@ QUERIES = {
     "p4_ledger": p4_ledger,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_pack": p6_pack,
+    "p6_summary": p6_summary,
     "p7_found": p7_found,
     "p7_coverage": p7_coverage,
     "p8_found": p8_found,
