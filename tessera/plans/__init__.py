@@ -1,0 +1,6 @@
+"""The named queries of the library."""
+
+from tessera.plans import text_queries  # noqa: F401
+from tessera.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
