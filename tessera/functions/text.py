@@ -61,7 +61,7 @@ def question_tokens(c: Column) -> Column:
     n = F.size(characters)
     # Two shifted copies are zipped, as an expression inside a lambda would be computed again for every element.
     later = F.slice(characters, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(characters, F.lit(1), F.greatest(n - 1, F.lit(0))), later, F.concat)
+    pairs = F.zip_with(F.slice(characters, F.lit(1), F.greatest(n - 1, F.lit(0))), later, lambda a, b: F.concat(a, b))
     return F.concat(pairs, characters)
 
 
