@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import STOP_CHARACTERS
-from tessera.functions.text import bounded_tokens, stripped, token_set, tokens
+from tessera.functions.text import bounded_tokens, stripped, tokens
 
 BITS = 63
 PERMUTATIONS, BANDS, ROWS = 128, 32, 4
@@ -72,16 +72,18 @@ def normalised_hash(c: Column) -> Column:
     return F.substring(F.sha2(normalised(c), 256), 1, 16)
 
 
-def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, signature): minhash of the bounded tokens under PERMUTATIONS seeded hash functions; no row without tokens."""
-    rows = df.select(key, F.explode(F.array_distinct(bounded_tokens(tokens(F.col(text))))).alias("token"))
-    hashed = rows.select(key, F.xxhash64("token").alias("h"))
-    least = [F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(PERMUTATIONS)]
+#: Hash functions (a * h + b) mod P of 28-bit token hashes; products stay below 2^59, so that any engine computes the same.
+P = (1 << 31) - 1
+SEEDS = [(pow(48_271, 2 * i + 1, P), pow(16_807, 2 * i + 2, P)) for i in range(PERMUTATIONS)]
+
+
+def signatures(sets: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, signature): minhash of the bounded tokens under PERMUTATIONS fixed hash functions; no row without tokens."""
+    rows = sets.select(key, F.explode(F.array_distinct(bounded_tokens(F.col(tokens)))).alias("token"))
+    hashed = rows.select(key, F.conv(F.substring(F.md5("token"), 26, 7), 16, 10).cast("long").alias("h"))
+    least = [F.min((F.col("h") * a + b) % P).alias(f"m{i}") for i, (a, b) in enumerate(SEEDS)]
     return hashed.groupBy(key).agg(*least).select(key, F.array(*[f"m{i}" for i in range(PERMUTATIONS)]).alias("signature"))
 
 
 def bands(signature: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), F.slice(signature, b * ROWS + 1, ROWS)) for b in range(BANDS)])
-
-
-__all__ = ["bands", "content_hash", "hamming", "normalised", "normalised_hash", "signatures", "simhash", "simhash_of", "token_set"]

@@ -160,12 +160,13 @@ def l1_matches(asked: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
     return met.groupBy("pending_id").agg(F.min("id").alias("l1_id"))
 
 
-def l2_matches(batch: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(pending_id, l2_id)."""
+def l2_matches(batch: DataFrame, nodes: DataFrame, least: float, exact: bool = False) -> DataFrame:
+    """(pending_id, l2_id): the smallest node that shares a minhash band and is more similar than `least`; with `exact`, of all such nodes."""
     new_sets, new_members = similarity.classes(batch.withColumn("tk", T.tokens(F.col("text"))), "pending_id", "tk")
     old_sets, _ = similarity.classes(nodes.select("id", T.tokens(F.col("text")).alias("tk")), "id", "tk")
     new_sets, old_sets = materialise(new_sets, "new-sets"), materialise(old_sets, "old-sets")
-    pairs = similarity.join(new_sets, old_sets, least).filter(F.col("similarity") > least)
+    join = similarity.join if exact else similarity.lsh_join
+    pairs = join(new_sets, old_sets, least).filter(F.col("similarity") > least)
     best = pairs.groupBy("a").agg(F.min("b").alias("l2_id"))
     return new_members.join(best.withColumnRenamed("a", "class_id"), "class_id").select(F.col("key").alias("pending_id"), "l2_id")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import fixed as X
-from tessera.runtime import load
+from tessera.runtime import load, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +18,10 @@ AS_OF = "2026-11-01 00:00:00"
 WORD, CJK_WORD, PHRASE = "balancer", "负载均衡", "load balancer"
 
 
+#: Tables with texts, whose rows cost most to compute on.
+TEXTS = ("nodes", "pending", "documents")
+
+
 def query(sql: str | None = None, *tables: str, name: str | None = None):
     """Register f(**tables as DataFrames) under its name, with the SQL that DuckDB runs on the same tables."""
 
@@ -25,7 +29,7 @@ def query(sql: str | None = None, *tables: str, name: str | None = None):
         key = name or f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(load(spark, sf_dir, t) for t in tables))
+            return f(*(spread(load(spark, sf_dir, t)) if t in TEXTS else load(spark, sf_dir, t) for t in tables))
 
         run.__name__, run.__doc__ = key, f.__doc__
         QUERIES[key] = run

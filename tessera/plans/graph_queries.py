@@ -497,7 +497,7 @@ def export_csv_rows(nodes: DataFrame) -> DataFrame:
 
 
 @query(
-    "SELECT coalesce(category, '未分类') AS category, id, '- **#' || id || '** ' || text || CASE WHEN len(tags) > 0 THEN ' `#' || array_to_string(tags, ', ') || '`' ELSE '' END || CASE WHEN confidence < 1 THEN ' (置信度:' || CAST(confidence AS DECIMAL(10, 2)) || ')' ELSE '' END AS line FROM nodes", "nodes"
+    "SELECT coalesce(category, '未分类') AS category, id, '- **#' || id || '** ' || text || CASE WHEN len(tags) > 0 THEN ' `#' || array_to_string(tags, ', ') || '`' ELSE '' END || CASE WHEN confidence < 1 THEN ' (置信度:' || (floor(confidence * 100 + 0.5)::INT // 100) || '.' || lpad((floor(confidence * 100 + 0.5)::INT % 100)::VARCHAR, 2, '0') || ')' ELSE '' END AS line FROM nodes", "nodes"
 )
 def export_markdown_lines(nodes: DataFrame) -> DataFrame:
     return exports.markdown_lines(nodes)

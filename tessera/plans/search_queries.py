@@ -216,10 +216,25 @@ def token_classes(nodes: DataFrame) -> DataFrame:
     return similarity.classes(nodes.select("id", T.tokens(F.col("text")).alias("tk")), "id", "tk")[1]
 
 
-@query(None, "nodes")
+SEEDS = "perm(i, a, b) AS (VALUES " + ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(hashing.SEEDS)) + ")"
+
+
+def bands_sql(name: str, source: str) -> str:
+    """Bands of (id, tk) rows: `name`(id, band, k)."""
+    return (
+        f"{name}_e AS (SELECT id, unnest(tk) AS w FROM {source}), {name}_s AS (SELECT id, i, min((('0x' || substr(md5(w), 26, 7))::BIGINT * a + b) % {hashing.P}) AS m FROM {name}_e, perm GROUP BY id, i),"
+        f" {name} AS (SELECT id, i // {hashing.ROWS} AS band, list(m ORDER BY i) AS k FROM {name}_s GROUP BY ALL)"
+    )
+
+
+@query(
+    "WITH " + CLASSES + f", {SEEDS}, {bands_sql('bd', 'c')}, p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bd x JOIN bd y ON x.band = y.band AND x.k = y.k AND x.id < y.id), j AS (SELECT a, b, len(list_intersect(x.tk, y.tk)) AS s, len(x.tk) + len(y.tk) AS n"
+    " FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b) SELECT a, b, round(s / (n - s), 9) AS similarity FROM j WHERE s / (n - s) >= 0.8",
+    "nodes",
+)
 def lsh_candidates(nodes: DataFrame) -> DataFrame:
     """Pairs that share a minhash band and are similar; a subset of jaccard_pairs, nearly all of it."""
-    return similarity.lsh_pairs(nodes.select("id", "text"), "id", "text", 0.8)
+    return similarity.lsh_pairs(nodes.select("id", "text"), "id", "text", 0.8).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
@@ -240,9 +255,10 @@ L1_SQL = (
     " l1 AS (SELECT a.pending_id, min(b.id) AS l1_id FROM a JOIN b ON (a.simhash & 15) = (b.simhash & 15) AND bit_count(xor(a.simhash, b.simhash)) <= 2 GROUP BY a.pending_id)"
 )
 L2_SQL = (
-    f"n AS (SELECT id, list_distinct({tokens('text')}) AS tk FROM nodes), m AS (SELECT id AS pending_id, list_distinct({tokens('text')}) AS tk FROM {NEW}), en AS (SELECT id, len(tk) AS n, unnest(tk) AS w FROM n),"
-    " em AS (SELECT pending_id, len(tk) AS n, unnest(tk) AS w FROM m), o AS (SELECT em.pending_id, en.id, em.n AS nm, en.n AS nn, count(*) AS s FROM em JOIN en USING (w) GROUP BY ALL),"
-    " l2 AS (SELECT pending_id, min(id) AS l2_id FROM o WHERE s / (nm + nn - s) > 0.5 GROUP BY pending_id)"
+    f"nt AS (SELECT id, list_sort(list_distinct({tokens('text')})) AS tk FROM nodes), nc AS (SELECT min(id) AS id, tk FROM nt WHERE len(tk) > 0 GROUP BY tk), mt AS (SELECT id AS pid, list_sort(list_distinct({tokens('text')})) AS tk FROM {NEW}),"
+    f" mc AS (SELECT min(pid) AS id, tk FROM mt WHERE len(tk) > 0 GROUP BY tk), {SEEDS}, {bands_sql('nb', 'nc')}, {bands_sql('mb', 'mc')}, met AS (SELECT DISTINCT mb.id AS a, nb.id AS b FROM mb JOIN nb ON mb.band = nb.band AND mb.k = nb.k),"
+    " o AS (SELECT a, b, len(list_intersect(mc.tk, nc.tk)) AS s, len(mc.tk) + len(nc.tk) AS n FROM met JOIN mc ON mc.id = a JOIN nc ON nc.id = b), g AS (SELECT a, min(b) AS l2_id FROM o WHERE s / (n - s) > 0.5 GROUP BY a),"
+    " l2 AS (SELECT mt.pid AS pending_id, g.l2_id FROM mt JOIN mc USING (tk) JOIN g ON g.a = mc.id)"
 )
 
 

@@ -37,6 +37,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it comes of fewer files than there are cores; else as it is.
+
+    A small table in one file would otherwise be read, and all that is computed on its rows done, in one or two tasks. A
+    large table has more files than there are cores and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else the checkpoint folder already set on the context.
 

@@ -53,7 +53,9 @@ def json_rows(nodes: DataFrame, word: str = "") -> DataFrame:
 def markdown_lines(nodes: DataFrame) -> DataFrame:
     """(category, id, line); grouped and ordered by the writer."""
     tags = F.when(F.size("tags") > 0, F.concat(F.lit(" `#"), F.array_join("tags", ", "), F.lit("`"))).otherwise("")
-    confidence = F.when(F.col("confidence") < 1, F.concat(F.lit(" (置信度:"), F.col("confidence").cast("decimal(10,2)").cast("string"), F.lit(")"))).otherwise("")
+    percent = F.floor(F.col("confidence") * 100 + 0.5).cast("int")
+    shown = F.concat(F.lit(" (置信度:"), (percent / 100).cast("int").cast("string"), F.lit("."), F.lpad((percent % 100).cast("string"), 2, "0"), F.lit(")"))
+    confidence = F.when(F.col("confidence") < 1, shown).otherwise("")
     line = F.concat(F.lit("- **#"), F.col("id").cast("string"), F.lit("** "), F.col("text"), tags, confidence)
     return nodes.select(F.coalesce("category", F.lit(UNCATEGORISED)).alias("category"), "id", line.alias("line"))
 

@@ -62,7 +62,7 @@ def category_of_path(path: Column) -> Column:
 
 def vault(spark: SparkSession, root: str) -> DataFrame:
     """(path, node_id, category, text, digest): the pages of a Markdown vault with a body of ten characters or more, outside protected folders."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    read = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     rows = read.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), "value")
     inside = F.split(F.regexp_replace("path", "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", ""), "/")
     rows = rows.filter(~F.arrays_overlap(inside, F.array(*[F.lit(p) for p in PROTECTED_FOLDERS])))
