@@ -92,7 +92,7 @@ class TermModel:
         return np.concatenate([np.repeat((1 - none) / k, k, axis=1), none], axis=1)
 
     def posterior(self, index: np.ndarray, row: np.ndarray, rows: int, prior: np.ndarray) -> np.ndarray:
-        scores = np.stack([np.bincount(row, weights=self.weights[index, c], minlength=rows) for c in range(self.weights.shape[1])], axis=1)
+        scores = np.stack([np.bincount(row, weights=self.weights[index, c], minlength=rows) for c in range(self.weights.shape[1])], axis=1).astype(float)
         scores += np.log(prior)
         scores -= scores.max(axis=1, keepdims=True)
         p = np.exp(scores)
