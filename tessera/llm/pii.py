@@ -127,7 +127,7 @@ def _name(flags: int, cap: str) -> re.Pattern:
 
 NAME = _name(0, r"[A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñ]+")
 NAME_ANY = _name(re.I, r"[A-Za-zäöüßáéíóúñÄÖÜÁÉÍÓÚÑ]{3,}")
-TITLED = re.compile(rf"(?<!\w)(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Herrn?|Frau|Sr\.|Sra\.)\s{{1,2}}[A-ZÄÖÜ][a-zäöüß]+(?![\w-])")
+TITLED = re.compile(rf"(?<!\w)(?<!\d\s)(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Herrn?|Frau|Sr\.|Sra\.)\s{{1,2}}[A-ZÄÖÜ][a-zäöüß]+(?![\w-])")
 NAME_CJK = re.compile(
     rf"(?:(?<=据)|(?<=由)|(?<=和)|(?<=联系人)|(?<=负责人)|(?<=作者)|(?<=@)|(?<![一-鿿]))[{SURNAMES}][{GIVEN_CJK}]{{1,2}}(?![{GIVEN_CJK}])"
     rf"|[{SURNAMES}][{GIVEN_CJK}]{{1,2}}(?=说，|老师|已经确认|跟进|请)"
