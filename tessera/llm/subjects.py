@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.pii import CAPITAL, GIVEN, NAME_CJK
 from tessera.llm.vec import CHUNK_CHARS, Units, chunks, mix
 
 #: Rows of the bounded sample: labelled ones, and others that the term model learns from.
@@ -45,18 +46,29 @@ CAUTIOUS_FROM = 4
 BEAM = 6
 LABEL_MASS = 0.15
 SHARE = (1, 3)
+#: Rows that the chains are fitted on at least.
+ENOUGH = 1_000
 SOURCES = 16  # hash slots for source and category in the chains
 
 RECORD = re.compile(r"^\s*(?:[{|]|-{3}\s*\n|[\w ]{1,24}\s*[:：=][^\n]{0,80}(?:\n[\w ]{1,24}\s*[:：=]|;\s*[\w ]{1,24}=))")
 CUT = re.compile(r"(?<=[。！？!?])\s*|(?<=\w\.)(?=[\s\"”'*)]|[A-ZÄÖÜÁÉÍÓÚ一-鿿])\s*|(?<=%\.)\s*|(?<=\)\.)\s*")
 
 
-#: What stands in sentences that only refer (order and phone numbers, addresses of machines, links): long or joined numbers.
-REFERENCE = re.compile(r"\d{6,}|\d-\d{3,}|\d\.\d+\.\d|@|＠|https?://")
+#: What stands in sentences that only refer (order and phone numbers, machines, links, people): long or joined numbers and codes.
+REFERENCE = re.compile(r"\d{6,}|\d-\d{3,}|\d\.\d+\.\d|@|＠|https?://|\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{9,}\b")
 REFERENCE_CHARS = 90
 SHORTEST_CHARS = 14  # Latin; shorter pieces come of abbreviations
 
 
+def refers(sentence: str) -> bool:
+    """Whether a sentence only refers to a number, a link or a person, or is a mere piece."""
+    if len(sentence) >= REFERENCE_CHARS:
+        return False
+    if REFERENCE.search(sentence) or len(sentence) < SHORTEST_CHARS and sentence.isascii():
+        return True
+    return any(w in GIVEN for w in CAPITAL.findall(sentence)) or not sentence.isascii() and bool(NAME_CJK.search(sentence))
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text; a record is one. A title without a sentence mark belongs to the sentence after it."""
     if RECORD.match(text):
@@ -87,8 +99,7 @@ class TermModel:
 
     def priors(self, parts: list[str]) -> np.ndarray:
         k = self.weights.shape[1] - 1
-        refers = [len(s) < REFERENCE_CHARS and bool(REFERENCE.search(s)) or len(s) < SHORTEST_CHARS and s.isascii() for s in parts]
-        none = np.where(refers, REFERENCE_NONE, NO_SUBJECT)[:, None]
+        none = np.where([refers(s) for s in parts], REFERENCE_NONE, NO_SUBJECT)[:, None]
         return np.concatenate([np.repeat((1 - none) / k, k, axis=1), none], axis=1)
 
     def posterior(self, index: np.ndarray, row: np.ndarray, rows: int, prior: np.ndarray) -> np.ndarray:
@@ -284,10 +295,14 @@ def train(rows: list[tuple[str, str | None, str | None, list[str | None] | None]
     order = np.array(sorted(range(k), key=lambda s: (-frequency[s], s)))
     chains = Chains(names, model, order, np.zeros((k, 0)), np.tile([1.0, 0.0], (k, 1)))
     at = [i for i, g in enumerate(given) if g is not None]
-    _, base = chains.measure([texts[i] for i in at])
+    labelled = len(at)
+    # Where labels are few, rows without one fill up the fit, labelled by the terms.
+    at += [i for i, g in enumerate(given) if g is None][: max(0, ENOUGH - labelled)]
+    count, base = chains.measure([texts[i] for i in at])
     slots = chains.slots([categories[i] for i in at], [rows[i][2] for i in at])
-    y = np.zeros((len(at), k))
-    for j, i in enumerate(at):
+    y = ((count > 0) & (count * SHARE[1] >= count.sum(axis=1, keepdims=True) * SHARE[0])).astype(float)
+    for j, i in enumerate(at[:labelled]):
+        y[j] = 0
         y[j, list(given[i])] = 1
     fold = np.arange(len(at)) % 2
     links = []
