@@ -38,7 +38,7 @@ class Items:
     """The seeds of a block of items."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
+        self.ids = [i for i, _ in rows]
         units = Units([t or "" for _, t in rows])
         ends = np.cumsum(units.n)
         self.h = [units.h[e - n : e] for n, e in zip(units.n, ends)]
@@ -117,7 +117,7 @@ def _scan(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Record
         texts = [t or "" for t in batch.column("text").to_pylist()]
         rows = []
         for part in chunks([len(t) for t in texts]):
-            rows += [(ids[part.start + d], int(items.ids[q]), m, n) for d, q, m, n in scan(texts[part], items)]
+            rows += [(ids[part.start + d], items.ids[q], m, n) for d, q, m, n in scan(texts[part], items)]
         columns = list(zip(*rows)) if rows else [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "matched", "units"])

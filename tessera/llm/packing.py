@@ -205,20 +205,21 @@ def _place(batches: Iterator[pa.RecordBatch], places: list[Places], capacities:
     for batch in batches:
         get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
         for spec in np.unique(get("spec_no")).tolist():
-            mine = get("spec_no") == spec
-            doc, tokens, full, rest = (get(c)[mine] for c in ("doc_id", "tokens", "full", "rest"))
+            mine = np.flatnonzero(get("spec_no") == spec)
+            tokens, full, rest = (get(c)[mine] for c in ("tokens", "full", "rest"))
             container = places[spec].find(rest, get("number")[mine])
-            of = np.repeat(np.arange(len(doc)), full)
+            of = np.repeat(np.arange(len(mine)), full)
             piece = np.arange(len(of)) - np.repeat(np.cumsum(full) - full, full)
             whole = places[spec].containers + get("number_full")[mine][of] + piece
             columns = [
-                np.full(len(doc) + len(of), spec, np.int32),
-                np.concatenate([doc, doc[of]]),
+                np.full(len(mine) + len(of), spec, np.int32),
+                batch.column("doc_id").take(pa.array(np.concatenate([mine, mine[of]]))),  # may be null
                 np.concatenate([full, piece]).astype(np.int32),
                 np.concatenate([tokens - full * capacities[spec], np.full(len(of), capacities[spec])]).astype(np.int64),
                 np.concatenate([container, whole]).astype(np.int64),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["spec_no", "doc_id", "piece", "tokens", "container_id"])
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, names=["spec_no", "doc_id", "piece", "tokens", "container_id"])
 
 
 def pack(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:

@@ -337,18 +337,15 @@ def fit_on(nodes: DataFrame, labels: DataFrame, subjects: DataFrame) -> Chains:
 
 def _assign(batches: Iterator[pa.RecordBatch], chains: Chains) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
         columns = [batch.column(c).to_pylist() for c in ("text", "category", "source")]
-        out_id, out_subject, out_mass = [], [], []
+        at, subject, mass = [np.zeros(0, np.int64)], [], [np.zeros(0)]
         for part in chunks([len(t or "") for t in columns[0]], CHUNK_CHARS // 2):
-            where, mass = chains.subjects_of(*(c[part] for c in columns))
-            out_id.append(ids[part][where[:, 0]])
-            out_subject += [chains.subjects[s] for s in where[:, 1]]
-            out_mass.append(mass)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out_id).astype(np.int64) if out_id else [], pa.int64()), pa.array(out_subject, pa.string()), pa.array(np.concatenate(out_mass) if out_mass else [], pa.float64())],
-            names=["node_id", "subject", "mass"],
-        )
+            where, own = chains.subjects_of(*(c[part] for c in columns))
+            at.append(where[:, 0] + part.start)
+            subject += [chains.subjects[s] for s in where[:, 1]]
+            mass.append(own)
+        ids = batch.column("id").take(pa.array(np.concatenate(at)))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(subject, pa.string()), pa.array(np.concatenate(mass))], names=["node_id", "subject", "mass"])
 
 
 def assign(nodes: DataFrame, chains: Chains) -> DataFrame:
