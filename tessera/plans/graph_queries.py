@@ -14,6 +14,13 @@ from tessera.plans.text_queries import normalised_sql
 from tessera.runtime import load, materialise, work_path
 from tessera.sources import exports, imports
 
+
+
+def _mean(c: F.Column, steps: int) -> F.Column:
+    """A mean in whole steps, which no order of addition changes."""
+    return F.round(F.sum(F.round(c * steps).cast("long")) / F.count(F.lit(1)) / float(steps), 6)
+
+
 TIDY = "tidy AS (SELECT src, dst, lower(coalesce(CASE WHEN trim(type) <> '' THEN trim(type) END, 'related')) AS type, coalesce(weight, 1.0) AS weight, source FROM edges)"
 JUDGED = (
     TIDY + ", judged AS (SELECT t.*, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'dangling' WHEN src = dst THEN 'self' WHEN row_number() OVER (PARTITION BY src, dst, t.type ORDER BY weight DESC, t.source NULLS LAST) > 1 THEN 'duplicate'"
@@ -56,9 +63,9 @@ def edge_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return graph.statistics(edges, nodes)
 
 
-@query(f"WITH {FIXED} SELECT type, count(*) AS edges, round(avg(weight), 6) AS mean_weight FROM fixed GROUP BY type", "edges", "nodes")
+@query(f"WITH {FIXED} SELECT type, count(*) AS edges, round(sum(round(weight * 10000)::BIGINT) / count(*) / 10000.0::DOUBLE, 6) AS mean_weight FROM fixed GROUP BY type", "edges", "nodes")
 def edge_stats_by_type(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return graph.repaired(edges, nodes).groupBy("type").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg("weight"), 6).alias("mean_weight"))
+    return graph.repaired(edges, nodes).groupBy("type").agg(F.count(F.lit(1)).alias("edges"), _mean(F.col("weight"), 10_000).alias("mean_weight"))
 
 
 @query(f"SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND {live()}", "edges", "nodes")
@@ -317,9 +324,9 @@ def qa_stats_source(nodes: DataFrame) -> DataFrame:
     return nodes.filter("status <> 'merged'").groupBy("source").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query("SELECT coalesce(status, 'active') AS status, count(*) AS nodes, round(avg(coalesce(trust_score, confidence, 0.0)), 6) AS trust FROM nodes GROUP BY 1", "nodes")
+@query("SELECT coalesce(status, 'active') AS status, count(*) AS nodes, round(sum(round(coalesce(trust_score, confidence, 0.0) * 1000000)::BIGINT) / count(*) / 1000000.0::DOUBLE, 6) AS trust FROM nodes GROUP BY 1", "nodes")
 def status_counts(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy(F.coalesce("status", F.lit("active")).alias("status")).agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg(retrieval.trust()), 6).alias("trust"))
+    return nodes.groupBy(F.coalesce("status", F.lit("active")).alias("status")).agg(F.count(F.lit(1)).alias("nodes"), _mean(retrieval.trust(), 1_000_000).alias("trust"))
 
 
 @query(f"SELECT {GROUP} AS category, count(*) AS nodes FROM ({visible_sql(PHRASE, 50)}) GROUP BY 1 ORDER BY nodes DESC, category LIMIT 5", "nodes")
