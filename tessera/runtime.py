@@ -90,6 +90,14 @@ def remove(spark: SparkSession, path: str) -> None:
 BROADCAST_ROWS = 1 << 20
 
 
+def checked(df: DataFrame, most: int, what: str) -> DataFrame:
+    """`df`, a table of stated size (queries, rules, sizes), after its rows were counted; too many are an error, none are dropped."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} {what}, at most {most} can be handled at once")
+    return df
+
+
 def join_sized(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join with `small`, which is broadcast only where its counted rows stay below BROADCAST_ROWS, else shuffled.
 
