@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise
+from tessera.runtime import checked, materialise
 
 #: The default rank file; its folder is a parameter of `pack`.
 TOKENIZERS = "/opt/tokenizers"
@@ -229,7 +229,7 @@ def pack(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS) -> Da
     all but the last of a split document are capacity_tokens long.
     """
     spark = documents.sparkSession
-    wanted = specs.select("spec", "capacity_tokens", "max_items").filter("capacity_tokens > 0").distinct().orderBy("spec").limit(64).collect()
+    wanted = checked(specs.select("spec", "capacity_tokens", "max_items").filter("capacity_tokens > 0").distinct(), 64, "container sizes").orderBy("spec").collect()
     if not wanted:
         return spark.createDataFrame([], "spec string, doc_id long, piece int, tokens long, container_id long")
     capacities = [r.capacity_tokens for r in wanted]
@@ -263,7 +263,7 @@ def summary(packed: DataFrame, specs: DataFrame) -> DataFrame:
         F.max("items").alias("most_items"), F.max("tokens").alias("most_tokens"),
     )
     bound = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
-    return total.join(F.broadcast(specs.select("spec", "capacity_tokens").limit(64)), "spec").select(
+    return total.join(specs.select("spec", "capacity_tokens"), "spec").select(
         "spec", "containers", "pieces", "tokens", "most_items", "most_tokens",
         F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"), bound.alias("least_containers"),
     )

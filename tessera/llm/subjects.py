@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pii import CAPITAL, GIVEN, NAME_CJK
 from tessera.llm.vec import CHUNK_CHARS, Units, chunks, mix
+from tessera.runtime import checked
 
 #: Rows of the bounded sample: labelled ones, and others that the term model learns from.
 LABELLED, UNLABELLED, SAMPLE_CHARS = 5_000, 10_000, 4_000
@@ -321,7 +322,8 @@ def train(rows: list[tuple[str, str | None, str | None, list[str | None] | None]
 
 def fit_on(nodes: DataFrame, labels: DataFrame, subjects: DataFrame) -> Chains:
     """Fit on the bounded sample of (id, text, category, source), (node_id, subject) and the subjects' table, which is small."""
-    areas = [(r.subject, r.label_zh) for r in subjects.select("subject", "label_zh").filter("subject is not null").distinct().orderBy("subject").limit(256).collect()]
+    listed = checked(subjects.select("subject", "label_zh").filter("subject is not null").distinct(), 256, "subjects")
+    areas = [(r.subject, r.label_zh) for r in listed.orderBy("subject").collect()]
     short = nodes.select("id", "text", "category", "source").filter(F.length("text").between(1, SAMPLE_CHARS))
     given = labels.filter("node_id is not null").groupBy("node_id").agg(F.collect_set("subject").alias("labels"))  # a null label leaves an empty set
     by_hash = [F.xxhash64("id"), F.col("id")]
