@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.linear import Sparse, fit, sigmoid
+from tessera.llm.sample import by_hash
 from tessera.llm.vec import CHUNK_CHARS, Units, chunks, mix
 
 #: Documents in the training sample, and the longest that it takes; both bound what the driver holds.
@@ -193,7 +194,7 @@ def fit_on(documents: DataFrame, docs: int = TRAIN_DOCS) -> Model:
     """Fit on the bounded sample of (doc_id, title, text, source_url)."""
     host = F.regexp_extract(F.coalesce("source_url", F.lit("")), r"^https?://([^/]+)", 1)
     short = documents.select("doc_id", "title", "text", host.alias("host")).filter(F.length("text").between(1, TRAIN_CHARS))
-    rows = short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).collect()
+    rows = by_hash(short, "doc_id", docs, documents.count()).collect()
     return train([(r.text, r.title, r.host) for r in rows])
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.pii import CAPITAL, GIVEN, NAME_CJK
+from tessera.llm.sample import by_hash
 from tessera.llm.vec import CHUNK_CHARS, Units, chunks, mix
 from tessera.runtime import checked
 
@@ -326,11 +327,11 @@ def fit_on(nodes: DataFrame, labels: DataFrame, subjects: DataFrame) -> Chains:
     areas = [(r.subject, r.label_zh) for r in listed.orderBy("subject").collect()]
     short = nodes.select("id", "text", "category", "source").filter(F.length("text").between(1, SAMPLE_CHARS))
     given = labels.filter("node_id is not null").groupBy("node_id").agg(F.collect_set("subject").alias("labels"))  # a null label leaves an empty set
-    by_hash = [F.xxhash64("id"), F.col("id")]
-    labelled = short.join(given, short.id == given.node_id).orderBy(*by_hash).limit(LABELLED)
+    given = by_hash(given, "node_id", LABELLED)
+    labelled = short.join(F.broadcast(given), short.id == given.node_id)  # at most LABELLED rows
     # The others by hash alone; a labelled row among them is dropped here, on the driver, where both samples are.
-    rest = short.orderBy(*by_hash).limit(UNLABELLED)
-    first = labelled.select("id", "text", "category", "source", "labels").collect()
+    rest = by_hash(short, "id", UNLABELLED, nodes.count())
+    first = labelled.orderBy("id").select("id", "text", "category", "source", "labels").collect()
     known = {r.id for r in first}
     rows = [(r.text, r.category, r.source, list(r.labels)) for r in first]
     rows += [(r.text, r.category, r.source, None) for r in rest.collect() if r.id not in known]
