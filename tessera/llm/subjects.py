@@ -53,7 +53,7 @@ ENOUGH = 1_000
 SOURCES = 16  # hash slots for source and category in the chains
 
 RECORD = re.compile(r"^\s*(?:[{|]|-{3}\s*\n|[\w ]{1,24}\s*[:：=][^\n]{0,80}(?:\n[\w ]{1,24}\s*[:：=]|;\s*[\w ]{1,24}=))")
-CUT = re.compile(r"(?<=[。！？!?])\s*|(?<=\w\.)(?=[\s\"”'*)]|[A-ZÄÖÜÁÉÍÓÚ一-鿿])\s*|(?<=%\.)\s*|(?<=\)\.)\s*")
+CUT = re.compile(r"(?<=[。！？!?])\s*|(?<=\w\.)(?=[\s\"”'*)]|[A-ZÄÖÜÁÉÍÓÚ一-鿿])\s*|(?<=%\.)\s*|(?<=\)\.)\s*|(?<=\.\.\.)\s*|(?<=…)\s*")
 
 
 #: What stands in sentences that only refer (order and phone numbers, machines, links, people): long or joined numbers and codes.
