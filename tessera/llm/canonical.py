@@ -1,8 +1,12 @@
 """The canonical key of a text: equal for copies that differ only in formatting.
 
 Prose is reduced to its letters and digits in lower case. A record (three or more fields and nothing else, as
-`name: value` lines, `name=value;` lists, table rows, front matter or a flat JSON object) is reduced to its sorted
-name/value pairs. All of it is a native column expression.
+`name: value` lines, `name=value;` lists, table rows, front matter or a JSON object) is reduced to its sorted name/value
+pairs. All of it is a native column expression.
+
+A JSON text counts as a record only if its pairs, blanks and commas are all that its braces hold. A list or an object
+inside it is one value, in the order given; one with further brackets inside makes the whole text prose, keyed by all of
+its letters.
 
 Defined results: a null text has a null key; a text without letters or digits is keyed by its exact characters, so
 that only identical ones are copies.
@@ -14,8 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAME = r"[\p{L}_][\p{L}\p{N}_]{0,23}(?: [\p{L}\p{N}_]{1,16})?"
-JSON_TEXT = r"(?s)^\{.*\}$"
-JSON_PAIR = r'"([^"]*)"\s*:\s*("[^"]*"|[^,}\s"]+)'
+# Possessive, so that long values need no stack.
+_STRING = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"'
+_INNER = rf'[^\[\]{{}}"]*+(?:{_STRING}[^\[\]{{}}"]*+)*+'
+JSON_PAIR = rf'{_STRING}\s*+:\s*+(?:{_STRING}|\[{_INNER}\]|\{{{_INNER}\}}|[^,{{}}\[\]\s"]++)'
+JSON_TEXT = rf"^\{{[\s,]*+(?:{JSON_PAIR}[\s,]*+)++\}}$"
+JSON_ESCAPE = r"\\[\\bfnrt]"
 FENCE = r"(?m)^[\s\p{Z}]*-{3,}[\s\p{Z}]*$"
 FIELD = rf"^[\s\p{{Z}}]*[|\"]?[\s\p{{Z}}]*({NAME})[\s\p{{Z}}\"]*[|:：=][\s\p{{Z}}]*(.*?)[\s\p{{Z}}|,]*$"
 ROW = rf"(?m)^[\s\p{{Z}}]*\|[\s\p{{Z}}]*{NAME}[\s\p{{Z}}]*\|[^\n|]*\|[\s\p{{Z}}]*$"
@@ -30,8 +38,9 @@ def letters(c: Column) -> Column:
 def fields(c: Column) -> Column:
     """The parts of a text that may be fields."""
     body = F.trim(F.regexp_replace(F.regexp_replace(c, FENCE, ""), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    pairs = F.regexp_extract_all(body, F.lit(JSON_PAIR), F.lit(0))
     parts = (
-        F.when(body.rlike(JSON_TEXT), F.regexp_extract_all(body, F.lit(JSON_PAIR), 0))
+        F.when(body.startswith("{") & body.rlike(JSON_TEXT), F.transform(pairs, lambda p: F.regexp_replace(p, JSON_ESCAPE, " ")))
         .when(body.contains("\n"), F.split(body, r"\s*\n\s*"))
         .otherwise(F.split(body, r"\s*[;；]\s*"))
     )

@@ -65,6 +65,27 @@ def test_canonical_forms(spark):
     assert got[9] != got[10] and got[12] is None
 
 
+def test_json_is_keyed_whole(spark):
+    """Text between, beside or inside the pairs is never left out of the key."""
+    body = '"item": "Load Balancer", "due": "2024-01-02", "note": "a: b", "site": "x-1"'
+    other = [
+        f"{{roughly {body}}}", f"{{{body}, and more}}", f"{{{body} late}}", f"{{{body}}} {{}} tail}}",
+        f'{{{body}, "tags": ["p", "q"]}}', f'{{{body}, "tags": ["p", "r"]}}', f'{{{body}, "tags": [["p"], "q"]}}',
+        f'{{{body}, "sub": {{"k": 1, "l": 2}}}}', f'{{{body}, "sub": {{"k": 1, "l": 3}}}}', f'{{{body}, "k": 1, "l": 2}}', f'{{{body}, "sub": {{"k": {{"l": 2}}}}}}',
+        f'{{{body}, "said": "so \\"one\\" and two"}}', f'{{{body}, "said": "so \\"one\\" and three"}}',
+    ]
+    same = [
+        ("{" + body.replace('", ', '" ') + ",}", FORMS[0]),  # signs alone never tell copies apart
+        (f'{{{body}, "tags": ["p", "q"]}}', f'{{"tags": ["p","q"], {body}}}'),
+        (f'{{{body}, "said": "so \\"one\\"\\nand two"}}', "said: so 'one' and two\n" + FORMS[0]),
+        (f'{{{body}, "said": "{"x" * 50_000} {chr(92)}{chr(34)}"}}', f'{{"said": "{"x" * 50_000}", {body}}}'),
+    ]
+    got = keys(spark, ["{" + body + "}", FORMS[0], *other, *[t for pair in same for t in pair]])
+    assert got[0] == got[1] and len({got[i] for i in range(1, 2 + len(other))}) == 1 + len(other)
+    n = 2 + len(other)
+    assert all(got[n + 2 * i] == got[n + 2 * i + 1] and got[n + 2 * i].startswith("R") for i in range(len(same)))
+
+
 def test_ledger(spark):
     texts = [*FORMS, "one two", "One, two!", "three", None, "", "one two"]
     rows = [(i + 1, t, "x") for i, t in enumerate(texts)]
