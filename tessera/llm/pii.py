@@ -128,15 +128,45 @@ def _name(flags: int, cap: str) -> re.Pattern:
 NAME = _name(0, r"[A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñ]+")
 NAME_ANY = _name(re.I, r"[A-Za-zäöüßáéíóúñÄÖÜÁÉÍÓÚÑ]{3,}")
 TITLED = re.compile(rf"(?<!\w)(?<!\d\s)(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Herrn?|Frau|Sr\.|Sra\.)\s{{1,2}}[A-ZÄÖÜ][a-zäöüß]+(?![\w-])")
-NAME_CJK = re.compile(
-    rf"(?:(?<=据)|(?<=由)|(?<=和)|(?<=联系人)|(?<=负责人)|(?<=作者)|(?<=@)|(?<![一-鿿]))[{SURNAMES}][{GIVEN_CJK}]{{1,2}}(?![{GIVEN_CJK}])"
-    rf"|[{SURNAMES}][{GIVEN_CJK}]{{1,2}}(?=说，|老师|已经确认|跟进|请)"
-    rf"|(?<=据)[{SURNAMES}][一-鿿]{{1,2}}(?=说[，,])|(?<=由)[{SURNAMES}][一-鿿]{{1,2}}(?=跟进)|(?<=和)[{SURNAMES}][一-鿿]{{1,2}}(?=老师)"
-    rf"|(?<=联系人)(?:\s?[:：=|]?\s?[\"“]?)[{SURNAMES}][一-鿿]{{1,2}}(?![一-鿿])|(?<=负责人)[:：]\s?[{SURNAMES}][一-鿿]{{1,2}}(?![一-鿿])"
-    rf"|(?<=@)[{SURNAMES}][一-鿿]{{1,2}}(?=\s?请)"
+# Two-character surnames, and characters common in given names (besides the rarer ones of GIVEN_CJK).
+COMPOUND = "欧阳|司马|上官|诸葛|司徒|东方|皇甫|尉迟|公孙|慕容|令狐|端木|夏侯|长孙|宇文|轩辕|闻人|南宫|独孤|申屠|澹台|钟离|呼延|鲜于|司空|百里|东郭|西门|公羊|赫连"
+GIVEN_COMMON = (
+    "伟芳娜敏静丽强磊军杰明艳勇洋涛超秀霞平刚桂英华玉兰萍红鹏辉建国飞波斌宇浩凯健俊帆帅旭宁龙林欣雪梅莉琴云洁娟婷玲慧颖琳倩佳嘉怡悦思雨梦瑶琪"
+    "晨阳晓小春夏秋冬子梓涵轩泽睿博文武志德荣福庆祥瑞安康永长振兴家贤良忠义仁信诚学海江河山峰岩松柏竹菊荷莲蓉薇萱蕾妍妮婕媛嫣娇燕凤鸿鹤雁莺"
+    "昊昕晖晗晟景曦煜炎灿烨焕炜熙钧铭锋锐鑫钰锦银金珍珠珊琦瑾瑜璐璇璟瑛玮珂环碧青蓝紫丹彤彬彦恒恩惠意愿淑清湘洪浩润淳渊源滨潇澄瀚露霏霜雯"
+    "露雷震霆卓越远达通进承绍继传启毅坚立成功胜利耀光亮朗宏广大天一元亦亚仪伊佩依俐保冰凌凡凝卫可君吉哲唯善国坤培城堂士奇奕如妙姗姿娅婉宜宗宛"
+    "尧岚崇崎川巧希廷弘彪征心忆恬惟懿扬才振捷政敬斯新方旺昂昌易昭晴智曼朋望本权杨杏材林枫栋树桐森楠楚歌正殿民汉沁沛法泉泰洲津流淇渝湛滢澜炳烈"
+    "然照爱玄珑琼瑄生画畅白皓皎盈相真睦知石硕祖祯禄禹秉秋童竣筠简素紫红纯纲绮维罡美羽翔翠翰耘聪舒航良艺芝芬芮芸苏苗若茂茜茹荃莎菁菲萌葵蓓蔚蕊"
+    "虎行衡裕觉言诗语诺谦豪贵赞超路跃辰辛迅连逸道邦郁里野铁镇长闻阔陆雄雅韵音顺颂风飒馨骏骥高魁鲁麒麟黛鼎齐"
 )
+# Words that look like a surname with such characters; what a value that is no person ends with; the fields that hold
+# a person, and those that may.
+NO_NAME = "马上|高峰|高明|高山|高原|高新|高雅|高达|高大|高贵|高远|高清|高亮|方正|方法|方言|方里|江山|江河|石英|马力|马达|马路|金星|金银|黄金|白天|白云|万一|万元|文明|文言|程心|成功|成立|成本|周一|周天|周边|陆路|汪洋|夏天|秋天|江海|和平|安全|安康|文学|文艺|钱币|任意|许可|常规|金山|汤圆|武林|龙虎|龙凤|向上|任一|贺信|毛利|付清|范本|于一|于是|孔明灯"
+NO_PERSON = "组队部站号室处司厂店局院台群端库器员们商方科办会班岗"
+PERSON_FIELD = "联系人|负责人|作者|经办人|审核人|审批人|提交人|记录人|撰稿人|撰写人|编辑|编者|姓名|署名|签名|签字|申请人|报告人|跟进人|处理人|创建人|发件人|收件人|确认人|对接人|接口人|责任人|值班人|主持人|参会人|译者"
+PERSON_FIELD += "|contact|owner|author|reviewer|assignee|reporter|editor|approver|signed by|created by|confirmed by|Ansprechpartner|Verfasser|Autor|Autorin|Bearbeiter|Kontakt|responsable|contacto|revisor|firmado por"
+MAY_BE_PERSON_FIELD = "name|nombre|名字|用户|成员"
+_SURNAME = rf"(?:{COMPOUND}|[{SURNAMES}])"
+_GIVEN_ANY = f"[{GIVEN_CJK}{GIVEN_COMMON}]{{1,2}}"
+_FREE = rf"(?!(?:{NO_NAME})(?![一-鿿])){_SURNAME}[一-鿿]{{0,1}}(?![{NO_PERSON}])[一-鿿](?![一-鿿])"  # a value of its own
+_AFTER_FIELD = r"[\"”]?(?:\s{0,2}[:：=|]\s{0,2}[\"“]?|\s{1,2})"
+NAME_CJK = [
+    re.compile(
+        rf"(?:(?<=据)|(?<=由)|(?<=和)|(?<=联系人)|(?<=负责人)|(?<=作者)|(?<=@)|(?<![一-鿿])){_SURNAME}[{GIVEN_CJK}]{{1,2}}(?![{GIVEN_CJK}])"
+        rf"|{_SURNAME}[{GIVEN_CJK}]{{1,2}}(?=说，|老师|已经确认|跟进|请)"
+        rf"|(?<=据){_SURNAME}[一-鿿]{{1,2}}(?=说[，,])|(?<=由){_SURNAME}[一-鿿]{{1,2}}(?=跟进)|(?<=和){_SURNAME}[一-鿿]{{1,2}}(?=老师)"
+        rf"|(?<=@){_SURNAME}[一-鿿]{{1,2}}(?=\s?请)"
+    ),
+    # Any name as the value of a field, and as a signature.
+    re.compile(rf"(?i:(?<![A-Za-z])(?:{PERSON_FIELD}){_AFTER_FIELD}|联系人|负责人)({_FREE})"),
+    re.compile(rf"(?i:(?<![A-Za-z])(?:{MAY_BE_PERSON_FIELD})){_AFTER_FIELD}(?!{NO_NAME})({_SURNAME}{_GIVEN_ANY})(?![一-鿿])"),
+    re.compile(rf"(?:^|(?<=\n))[^\S\n]*(?:-{{2}}|[—–]{{1,2}}|~{{1,2}}|_{{2}})[^\S\n]*\n?[^\S\n]*({_FREE})(?=[^\S\n]*(?:\n|\Z))"),
+    # Any name that is said to have said something; common names before such a word wherever they are.
+    re.compile(rf"(?<=[据跟与])(?!{NO_NAME}){_SURNAME}[一-鿿]{{1,2}}?(?=\s?说[，,：:])"),
+    re.compile(rf"(?!{NO_NAME}){_SURNAME}{_GIVEN_ANY}(?=\s?(?:说[，,：:]|已经?确认|老师|跟进|请(?![求假示教])))"),
+]
 LEADING = " \t\n\xa0:：=|\"“"  # what a field may have between its name and its value
-CJK_SIGN = re.compile(rf"[{SURNAMES}][{GIVEN_CJK}]|联系人|负责人|跟进|老师|@[一-鿿]|据[{SURNAMES}]")
+CJK_SIGN = re.compile(rf"[{SURNAMES}][{GIVEN_CJK}]|说[，,：:]|确认|跟进|老师|请|@[一-鿿]|(?:^|\n)[^\S\n]*(?:--|[—–~]|__)|(?i:{PERSON_FIELD}|{MAY_BE_PERSON_FIELD})")
 
 
 def _replace(text: str, at: list[int] | None, spans: list[tuple[int, int, str]]) -> tuple[str, list[int]]:
@@ -187,7 +217,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
 
     def take(kind: str, patterns, work: str) -> str:
         for pattern in patterns:
-            spans = [(m.end() - len(m.group().lstrip(LEADING)), m.end()) for m in pattern.finditer(work)]
+            spans = [m.span(1) if m.lastindex else (m.end() - len(m.group().lstrip(LEADING)), m.end()) for m in pattern.finditer(work)]
             for a, b in spans:
                 found.append((a, b, kind))
                 work = work[:a] + "\x00" * (b - a) + work[b:]
@@ -212,7 +242,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
     if ". " in work or "rau " in work or "err" in work:
         work = take("name", (TITLED,), work)
     if not work.isascii() and CJK_SIGN.search(work):
-        work = take("name", (NAME_CJK,), work)
+        work = take("name", NAME_CJK, work)
     if at is not None:
         found = [(at[a], at[b - 1] + 1, kind) for a, b, kind in found]
     return sorted(found)

@@ -41,6 +41,20 @@ def test_mentions():
     assert pii.mentions(None) == []
 
 
+def test_chinese_names_of_any_characters():
+    cases = {
+        "接口已上线。\n-- \n王伟": ["王伟"], "接口已上线。\n——\n欧阳娜\n16390802415": ["欧阳娜"], "完成。\n~\n李雪梅\n": ["李雪梅"],
+        "作者: 张敏\n编号: R1": ["张敏"], '{"审核人": "司马光", "期限": "2024-01-02"}': ["司马光"], "| 经办人 | 陈杰 |": ["陈杰"], "author: 刘洋": ["刘洋"], "联系人=诸葛静宜; 数量=3": ["诸葛静宜"],
+        "王伟已经确认。": ["王伟"], "昨天张建国说，先不改": ["张建国"], "和李丽老师沟通过": ["李丽"], "由上官婉跟进": ["上官婉"], "@赵磊 请看一下": ["赵磊"], "负责人：周芳": ["周芳"],
+        # Characters of no list, where the place says that it is a name.
+        "作者：王犇": ["王犇"], "记录完毕。\n--\n孙骉": ["孙骉"], "据钱鱻说：照旧": ["钱鱻"],
+        # No persons.
+        "方案已经确认。高峰已经确认。任课老师说，金额已经确认。": [], "负责人: 金融组\n作者: 方案部": [], "a: 1\n---\n方案\n": [], "姓名: 高中老师": [], "马上说，周日跟进，周末请回复": [],
+    }
+    for text, want in cases.items():
+        assert [t for t, k in kinds(text) if k == "name"] == want, text
+
+
 def test_redaction_keeps_the_rest():
     text = "Ask Vera Wenundik,​ write to a.b [at] post [dot] test — or call 520-555-0107!"
     assert pii.redact(text) == "Ask [NAME],​ write to [EMAIL] — or call [PHONE]!"
