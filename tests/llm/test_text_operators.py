@@ -55,6 +55,18 @@ def test_chinese_names_of_any_characters():
         assert [t for t, k in kinds(text) if k == "name"] == want, text
 
 
+def test_every_kind_of_street_is_found():
+    streets = [f"12 Elm {w}" for w in "Road Lane Avenue Street Drive Close Rd Rd. Ave Ave. St St.".split()]
+    streets += [f"Linden{w} 12" for w in "straße strasse str. weg allee platz gasse -Allee -Straße -Strasse -Weg -Platz".split()]
+    streets += ["Berliner Straße 12", "Berliner Strasse 12", "Berliner Allee 12", "Karl-Marx-Straße 5", "Berliner Straße 12, 10115 Berlin", "45 Elm Ave, Castrel"]
+    streets += [f"{w} Luna 12" for w in "Calle C/ Avda. Avenida Plaza Paseo Camino Ronda".split()]
+    streets += [f"东山{w}12号" for w in "路 街 大道 巷 胡同".split()]
+    for street in streets:
+        assert kinds(street) == [(street, "address")], street
+        assert kinds(f"x: {street}") == [(street, "address")], street
+    assert kinds("BERLINER STRASSE 12, 10115 BERLIN") == [("BERLINER STRASSE 12, 10115 BERLIN", "address")]
+
+
 def test_redaction_keeps_the_rest():
     text = "Ask Vera Wenundik,​ write to a.b [at] post [dot] test — or call 520-555-0107!"
     assert pii.redact(text) == "Ask [NAME],​ write to [EMAIL] — or call [PHONE]!"
