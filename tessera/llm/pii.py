@@ -174,8 +174,10 @@ LEADING = " \t\n\xa0:：=|\"“"  # what a field may have between its name and i
 CJK_SIGN = re.compile(rf"[{SURNAMES}][{GIVEN_CJK}]|说[，,：:]|确认|跟进|老师|请|@[一-鿿]|(?:^|\n)[^\S\n]*(?:--|[—–~]|__)|(?i:{PERSON_FIELD}|{MAY_BE_PERSON_FIELD})")
 
 
-def _replace(text: str, at: list[int] | None, spans: list[tuple[int, int, str]]) -> tuple[str, list[int]]:
+def _replace(text: str, at: list[int] | None, spans: list[tuple[int, int, str]]) -> tuple[str, list[int] | None]:
     """`text` with each span replaced, and the source offset of each of its characters and of its end."""
+    if not spans:
+        return text, at
     at = list(range(len(text) + 1)) if at is None else at
     out, where, last = [], [], 0
     for start, end, new in spans:
@@ -192,19 +194,17 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
     at = None
     if not out.isascii() and INVISIBLE.search(out):
         out, at = _replace(out, at, [(m.start(), m.end(), "") for m in INVISIBLE.finditer(out)])
-    low = out.lower()
-    if "at]" in low or "at)" in low or "at}" in low or "at>" in low or "roba" in low or "(a)" in low or "[@" in low or "(@" in low:
+    if any(x in out for x in "[({<"):  # what AT and DOT begin with
         out, at = _replace(out, at, [(m.start(), m.end(), "@") for m in AT.finditer(out)])
-        low = out.lower()
-    if any(x in low for x in ("dot]", "dot)", "dot}", "punkt", "punto", "[.]", "(.)", "dot>", "点]", "点)")):
         out, at = _replace(out, at, [(m.start(), m.end(), ".") for m in DOT.finditer(out)])
-    if " dot " in low or " punkt " in low or " punto " in low:
+    low = out.lower()
+    if "dot" in low or "punkt" in low or "punto" in low:
         spans = []
         for m in BARE.finditer(out):
             spans.append((m.start(2), m.end(2), "@"))
             spans += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in BARE_DOT.finditer(m.group(3))]
             spans.append((m.start(4), m.end(4), "."))
-        out, at = _replace(out, at, spans) if spans else (out, at)
+        out, at = _replace(out, at, spans)
     spelled = [(m.start(), m.end(), "".join(DIGIT_WORDS[w] for w in re.findall(_WORD, m.group().lower()))) for m in SPELLED.finditer(out)]
     if not out.isascii():
         spelled += [(m.start(), m.end(), "".join(CJK_DIGITS[c] for c in m.group())) for m in SPELLED_CJK.finditer(out)]

@@ -67,6 +67,19 @@ def test_every_kind_of_street_is_found():
     assert kinds("BERLINER STRASSE 12, 10115 BERLIN") == [("BERLINER STRASSE 12, 10115 BERLIN", "address")]
 
 
+def test_every_disguise_of_at_and_dot_is_found():
+    for left, right in ("[]", "()", "{}", "<>"):
+        for blank in ("", " ", "  "):
+            for inner in ("", " "):
+                for at in ("at", "AT", "@", "a", "arroba", "ät"):
+                    for dot in ("dot", "Dot", "punkt", "punto", ".", "点"):
+                        wrap = lambda x: f"{blank}{left}{inner}{x}{inner}{right}{blank}"  # noqa: E731, B023
+                        for mail in (f"anna{wrap(at)}post{wrap(dot)}test", f"anna{wrap(at)}post.test", f"anna@post{wrap(dot)}test"):
+                            assert kinds(f"to: {mail} now") == [(mail, "email")], mail
+    assert kinds("mail anna at\npost\ndot test") == [("anna at\npost\ndot test", "email")]
+    assert kinds("see (a) and [b], x[0] < y {c} <d>") == [] and pii.normalise("f(x) [y]") == ("f(x) [y]", None)
+
+
 def test_redaction_keeps_the_rest():
     text = "Ask Vera Wenundik,​ write to a.b [at] post [dot] test — or call 520-555-0107!"
     assert pii.redact(text) == "Ask [NAME],​ write to [EMAIL] — or call [PHONE]!"
