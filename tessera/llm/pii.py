@@ -79,6 +79,21 @@ PHONE = re.compile(
     rf"|(?:\+44{_SEP}?(?:\(0\)\s?)?|0)7\d{{3}}{_SEP}?\d{{6}}|(?:\+44{_SEP}?(?:\(0\)\s?)?|0)20{_SEP}7\d{{3}}{_SEP}\d{{4}}"  # United Kingdom
     rf")(?![\w])(?![-/]\d)"
 )
+# Any number with a country code, in any grouping, of as many digits as the plan of the world allows; and a national number in
+# any grouping after a word for telephones. What is shaped like a date or an IP address is none.
+_PART = r"(?:[^\S\n]?\(0\)[^\S\n]?|[^\S\n]?[(/–-][^\S\n]?|\)[^\S\n]{0,2}|[^\S\n]{1,2}\(?|\.|\)[-/])"
+PHONE_ABROAD = re.compile(rf"(?<![A-Za-z0-9_+/.-])(?:\+|00(?=[1-9]\d{{0,2}}[\s(/.-]))[^\S\n]?\(?[1-9](?:{_PART}?\d){{7,14}}(?![A-Za-z0-9_])(?![-/]\d)")
+# Words for telephones, and words that tell other numbers.
+PHONE_WORD = (
+    r"(?:(?<![A-Za-zäöüß])(?:tel|telephone|telefon(?:nummer|isch)?|teléfono|fono|phone|call(?: \w+)?|calling|mobile?|móvil|celular|cell|fax|landline|hotline|dial|ring|reach(?:able| me| us| him| her| them)|whatsapp|handy|festnetz|ruf|rufnummer|rufen"
+    r"|anruf|anrufen|erreichbar|durchwahl|llam[aeá]\w*|marque)(?![A-Za-zäöüß])|电话|手机|座机|固话|拨打?|致电|来电|传真|热线|☎)"
+)
+_OTHER_NUMBER = r"(?:order|ticket|invoice|ref|build|version|bestell|rechnung|auftrag|pedido|factura|编号|订单|工单|单号|发票|证件|身份证|dni|ssn|ausweis)"
+PHONE_SAID = re.compile(
+    rf"(?i:{PHONE_WORD}(?:(?!{_OTHER_NUMBER})[^\d\n\x00+]){{0,24}}?)(?<![A-Za-z0-9_+/-])"
+    rf"((?!(?:19|20)\d\d[-/.]\d\d?[-/.]\d)(?!\d\d?[-/.]\d\d?[-/.](?:19|20)\d\d)(?!\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\d))\(?\d(?:{_PART}?\d){{6,11}})(?![A-Za-z0-9_])(?![-/]\d)"
+)
+SEVEN_DIGITS = re.compile(r"\d(?:[^\d\n]{0,4}\d){6}")
 
 _CAP = r"[A-ZÄÖÜÁÉÍÓÚÑ][\wäöüßáéíóúñ]+(?:-[A-ZÄÖÜ][\wäöüß]+)?"
 _TOWN = rf"(?:[\s,]{{1,3}}(?:D-)?(?:\d{{5}}\s{{1,2}}){_CAP}|,\s{{1,2}}{_CAP}|[^\S\n]?\n{_CAP}(?=[\n.]|$))?"
@@ -233,6 +248,8 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
         work = take("email", (EMAIL,), work)
     work = take("idno", (IDNO,), work)
     work = take("phone", (PHONE,), work)
+    if SEVEN_DIGITS.search(work):
+        work = take("phone", (PHONE_ABROAD, PHONE_SAID), work)
     cased = work if not (work.isupper() or work.islower()) else work.title()
     if ADDRESS_SIGN.search(cased):
         before = len(found)

@@ -80,6 +80,18 @@ def test_every_disguise_of_at_and_dot_is_found():
     assert kinds("see (a) and [b], x[0] < y {c} <d>") == [] and pii.normalise("f(x) [y]") == ("f(x) [y]", None)
 
 
+def test_phones_of_any_grouping():
+    abroad = "+49 30 1234567|+49 89 636-48018|+49 (0)30 123 45 67|+34 91 123 45 67|+44 20 8123 4567|+44 161 496 0000|+33 1 23 45 67 89|+41 44 668 18 00|+81 3-1234-5678|+1 (520) 555-0107|+86 10 1234 5678|+390612345678|0049 30 1234567"
+    for number in abroad.split("|"):
+        assert kinds(f"We noted {number} there") == [(number, "phone")], number
+    national = "030 1234567|0151 23456789|612 345 678|020 8123 4567|0161 496 0000|520 555 0107|010 12345678|91 123 45 67|(030) 123 45 67|030/123 45 67"
+    for number in national.split("|"):
+        for text in ("Tel. {}, bitte", "Phone: {}.", "Call me on {}!", "Erreichbar unter? Anrufen: {}", "Teléfono {}", "电话：{}。", "手机{}转"):
+            assert kinds(text.format(number)) == [(number, "phone")], text.format(number)
+    for text in ("Call on 2024-01-02.", "call 02.01.2024", "call node 10.13.105.107", "Phone order 7150153175 shipped", "Recall 123 456 7890 items", "+12 34", "load to reach 9903 / 351; it", "part 030 1234567", "电话订单 7150153175"):
+        assert kinds(text) == [], text
+
+
 def test_redaction_keeps_the_rest():
     text = "Ask Vera Wenundik,​ write to a.b [at] post [dot] test — or call 520-555-0107!"
     assert pii.redact(text) == "Ask [NAME],​ write to [EMAIL] — or call [PHONE]!"
