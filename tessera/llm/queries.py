@@ -24,6 +24,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.match(pending, nodes).select(F.col("batch_id").alias("pending_id"), "node_id")
 
 
+def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pending note after its day's batch: the accepted note that it repeats (a node, or a note of an earlier day), or its new id."""
+    nodes = load(spark, sf_dir, "nodes").select("id", "text")
+    pending = load(spark, sf_dir, "pending").select(F.col("id").alias("batch_id"), F.col("content").alias("text"), F.to_date("created_at").alias("day"))
+    stored = _history.History.build(nodes)
+    rows = _history.accept_in_order(_history.History.open(spark, stored.path), pending, nodes)
+    return rows.select(F.col("batch_id").alias("pending_id"), "node_id", "new_id")
+
+
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = load(spark, sf_dir, "nodes")
     chains = _subjects.fit_on(nodes, load(spark, sf_dir, "subject_labels"), load(spark, sf_dir, "subjects"))
@@ -127,6 +136,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_batches": p1_batches,
     "p2_found": p2_found,
     "p2_composition": p2_composition,
     "p3_found": p3_found,

@@ -197,3 +197,21 @@ def test_history(spark):
     got = {r.batch_id: r.node_id for r in history.History.open(spark, index.path).match(probe, grown).collect()}
     assert set(got) == {"again"} and added[got["again"]] == f"p{new.index('fresh one')}"
     assert index.match(batch.limit(0), nodes).count() == 0
+
+
+def test_batches_in_order(spark, tmp_path):
+    """The registered query: each day's batch meets the nodes and what earlier days filed, and nothing of its own or a later day."""
+    from __spark_entry__ import queries
+
+    old = notes(40, 11)
+    days = ["2026-01-02", "2026-01-01", None]  # out of order, and undated rows last
+    new = [("a", "alpha beta gamma delta", days[0]), ("b", "alpha beta gamma delta!", days[1]), ("c", old[3].upper(), days[0]), ("d", " ", days[1]), ("e", "one more thing", days[1]), ("f", "One more thing", days[1]), ("g", "one, more thing", None), ("h", "nothing like it", days[0])]
+    spark.createDataFrame(list(enumerate(old)), "id long, text string").coalesce(1).write.parquet(f"{tmp_path}/nodes.parquet")
+    pending = spark.createDataFrame(new, "id string, content string, day string").withColumn("created_at", F.to_timestamp("day"))
+    pending.coalesce(1).write.parquet(f"{tmp_path}/pending.parquet")
+    got = {r.pending_id: (r.node_id, r.new_id) for r in queries()["p1_batches"](spark, str(tmp_path)).collect()}
+    assert set(got) == set("abcefgh")
+    assert sorted(got[x][1] for x in "bef") == [40, 41, 42] and got["h"] == (None, 43)
+    assert got["a"] == (got["b"][1], None) and got["g"] == (min(got["e"][1], got["f"][1]), None)
+    key = keys(spark, old)
+    assert got["c"][0] <= 3 and got["c"][1] is None and (key[got["c"][0]] == key[3] or similar(token_set(old[got["c"][0]]), token_set(old[3])))
