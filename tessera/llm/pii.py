@@ -170,7 +170,7 @@ _SURNAME = rf"(?:{COMPOUND}|[{SURNAMES}])"
 _GIVEN_ANY = f"[{GIVEN_CJK}{GIVEN_COMMON}]{{1,2}}"
 _FREE = rf"(?!(?:{NO_NAME})(?![一-鿿])){_SURNAME}[一-鿿]{{0,1}}(?![{NO_PERSON}])[一-鿿](?![一-鿿])"  # a value of its own
 _AFTER_FIELD = r"[\"”]?(?:\s{0,2}[:：=|]\s{0,2}[\"“]?|\s{1,2})"
-NAME_CJK = [
+NAMES_CJK = [
     re.compile(
         rf"(?:(?<=据)|(?<=由)|(?<=和)|(?<=联系人)|(?<=负责人)|(?<=作者)|(?<=@)|(?<![一-鿿])){_SURNAME}[{GIVEN_CJK}]{{1,2}}(?![{GIVEN_CJK}])"
         rf"|{_SURNAME}[{GIVEN_CJK}]{{1,2}}(?=说，|老师|已经确认|跟进|请)"
@@ -185,6 +185,7 @@ NAME_CJK = [
     re.compile(rf"(?<=[据跟与])(?!{NO_NAME}){_SURNAME}[一-鿿]{{1,2}}?(?=\s?说[，,：:])"),
     re.compile(rf"(?!{NO_NAME}){_SURNAME}{_GIVEN_ANY}(?=\s?(?:说[，,：:]|已经?确认|老师|跟进|请(?![求假示教])))"),
 ]
+NAME_CJK = NAMES_CJK[0]
 LEADING = " \t\n\xa0:：=|\"“"  # what a field may have between its name and its value
 CJK_SIGN = re.compile(rf"[{SURNAMES}][{GIVEN_CJK}]|说[，,：:]|确认|跟进|老师|请|@[一-鿿]|(?:^|\n)[^\S\n]*(?:--|[—–~]|__)|(?i:{PERSON_FIELD}|{MAY_BE_PERSON_FIELD})")
 
@@ -264,7 +265,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
     if ". " in work or "rau " in work or "err" in work:
         work = take("name", (TITLED,), work)
     if not work.isascii() and CJK_SIGN.search(work):
-        work = take("name", NAME_CJK, work)
+        work = take("name", NAMES_CJK, work)
     if at is not None:
         found = [(at[a], at[b - 1] + 1, kind) for a, b, kind in found]
     return sorted(found)
