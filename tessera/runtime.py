@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,10 +82,31 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    p = hadoop.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        p = hadoop.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bytes that a task should read of a shuffle.
+TASK_BYTES = 8 << 20
+
+
+@contextmanager
+def shuffled(spark: SparkSession, rows: int, row_bytes: int) -> Iterator[None]:
+    """Plans executed inside shuffle into tasks of about TASK_BYTES: the session's number of partitions, or more where `rows` ask for more.
+
+    A number set in the session suits one size of data; here it follows the rows. AQE still joins small tasks and splits skewed ones.
+    """
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(old), -(-rows * row_bytes // TASK_BYTES))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 #: Rows that a broadcast side may have at most: 2^20 rows of two longs are 16 MB.
