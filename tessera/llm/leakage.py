@@ -2,8 +2,11 @@
 
 Method: windows of the shortest counted passage (12 words, or 20 characters in Chinese texts) of all items are the
 seeds. Every document is hashed window by window (Karp-Rabin, whole batches at once) and joined with them; seeds on one
-diagonal are grown to maximal matches, which are checked unit by unit and marked on the item longest first, each unit
-once. A document leaks an item when the marked units are a third of the item's or more, whatever their order.
+diagonal are grown to maximal matches, which are checked unit by unit. The longest match is marked first, in the document
+and in the item; a match that another has covered in part is cut to what is free in both, and its pieces wait for their
+turn by their length. So each unit of either text is in one tile at most: a passage that the document holds once covers
+only one of its places in the item. A document leaks an item when the tiles hold a third of the item's units or more,
+whatever their order. Every tile is part of an unbroken match of the least length, whatever is left of it.
 
 Units are words, numbers and CJK characters in lower case; line breaks, punctuation, quote marks and markup are none.
 
@@ -30,7 +33,7 @@ MIN_WORDS, MIN_CHARACTERS = 12, 20
 SHARE = (1, 3)
 #: Characters of items in a block: its table of seeds takes about 30 bytes for each.
 BLOCK_CHARS = 4_000_000
-BITS = 20
+MIN_BITS = 20
 LEAK = "doc_id long, item_id long, matched int, units int"
 
 
@@ -54,40 +57,56 @@ class Items:
             item = np.concatenate([np.full(len(s), i) for s, i in seeds])
             place = np.concatenate([np.arange(len(s)) for s, _ in seeds])
             order = np.argsort(key, kind="stable")
-            present = np.zeros(1 << BITS, bool)
-            present[(key >> np.uint64(64 - BITS)).astype(np.int64)] = True
-            self.tables[size] = key[order], item[order], place[order], present
+            shift = np.uint64(64 - max(MIN_BITS, int(len(key) * 8).bit_length()))  # an eighth of the filter at most is set
+            present = np.zeros(1 << (64 - int(shift)), bool)
+            present[(key >> shift).astype(np.int64)] = True
+            self.tables[size] = key[order], item[order], place[order], present, shift
 
 
-def tile(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> int:
-    """How many units of the item are covered by maximal matches of `least` units or more, from seeds at doc i, item j."""
+def matches(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(length, doc place, item place) of the maximal matches of `least` units or more, from seeds at doc i, item j."""
     order = np.lexsort((i, i - j))
     i, j = i[order], j[order]
     new = np.ones(len(i), bool)
     new[1:] = (np.diff(i - j) != 0) | (np.diff(i) != 1)
     begin = np.flatnonzero(new)
     run = np.diff(begin, append=len(i)) + least - 1
-    queue = []
-    for b, length in zip(begin.tolist(), run.tolist()):
-        if np.array_equal(doc[i[b] : i[b] + length], item[j[b] : j[b] + length]):
-            queue.append((-length, int(j[b])))
+    rows = zip(run.tolist(), i[begin].tolist(), j[begin].tolist())
+    return [(n, d, q) for n, d, q in rows if np.array_equal(doc[d : d + n], item[q : q + n])]
+
+
+def tiles(found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """The (length, doc place, item place) tiles of the matches with an item of `size` units, longest first, none overlapping."""
+    if len(found) == 1:
+        return found
+    first = min((d for _, d, _ in found), default=0)
+    in_doc = np.zeros(max((d + n for n, d, _ in found), default=0) - first, bool)
+    in_item = np.zeros(size, bool)
+    queue = [(-n, q, d) for n, d, q in found]
     heapq.heapify(queue)
-    marked = np.zeros(len(item), bool)
+    out = []
     while queue:
-        length, at = heapq.heappop(queue)
-        marked[at : at - length] = True
-    return int(marked.sum())
+        n, q, d = heapq.heappop(queue)
+        taken = in_doc[d - first : d - first - n] | in_item[q : q - n]
+        if not taken.any():
+            in_doc[d - first : d - first - n] = in_item[q : q - n] = True
+            out.append((-n, d, q))
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+        for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist()):  # what is free in both
+            heapq.heappush(queue, (start - stop, q + start, d + start))
+    return out
 
 
 def scan(texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
     """(text number, item number, matched units, units) of each leak in a batch of texts."""
     units = Units(texts)
     hits = []
-    for size, (key, item, place, present) in items.tables.items():
+    for size, (key, item, place, present, shift) in items.tables.items():
         windows = rolling(units.h, size)
         if not len(windows):
             continue
-        at = np.flatnonzero(present[(windows >> np.uint64(64 - BITS)).astype(np.int64)])
+        at = np.flatnonzero(present[(windows >> shift).astype(np.int64)])
         at = at[units.doc[at] == units.doc[at + size - 1]]
         low, high = np.searchsorted(key, windows[at], "left"), np.searchsorted(key, windows[at], "right")
         count = high - low
@@ -105,7 +124,8 @@ def scan(texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
         if not len(group):
             continue
         d, q = int(doc[group[0]]), int(item[group[0]])
-        matched = tile(units.h, items.h[q], where[group], place[group], int(items.least[q]))
+        found = matches(units.h, items.h[q], where[group], place[group], int(items.least[q]))
+        matched = sum(n for n, _, _ in tiles(found, len(items.h[q])))
         if matched * SHARE[1] >= len(items.h[q]) * SHARE[0]:
             out.append((d, q, matched, len(items.h[q])))
     return out
