@@ -1,19 +1,22 @@
 """Problem 2: the subject areas of each document, by classifier chains over term, source and structure features.
 
-Terms: a generative term model gives each sentence its subject, or none. It is fitted by expectation maximisation on a
-bounded sample, from the hand-given labels and from those categories that spell a subject; the reliability of every
+Terms: a generative term model tells what each sentence speaks of, if anything. It is fitted by expectation maximisation
+on a bounded sample, from the hand-given labels and from those categories that spell a subject; the reliability of every
 other category is learned on the way. Chains: per subject, in order of frequency, a ridge-regularised logistic
-regression over the sentence shares and term scores of the document, its structure (sentences, record or prose), its
-category and source, and the labels earlier in the chain, which models the co-occurrence of subjects. Each link is
-calibrated on the fold that it was not fitted on (Platt scaling). Label combinations are decoded by beam search; a label
-stands where its calibrated mass over the beam is LABEL_MASS or more. An exact check of the definition follows: at
-least a third of the subject-bearing sentences are about the subject.
+regression over what the terms say of the document (how many of its sentences speak of the subject, how surely, how
+strong the terms are taken together, and what speaks of other subjects), its structure (sentences, record or prose), its
+category and source, and the labels earlier in the chain, which models the co-occurrence of subjects. They are fitted on
+the hand-given labels and, with the weight PSEUDO, on what the terms alone would give the other rows of the sample. Each
+link is calibrated on the fold that it was not fitted on (Platt scaling). Beam search decodes the likeliest combination of
+labels; that combination is the result, no rule comes after it.
 
-Scale: the fit is on the driver, over LABELLED labelled and UNLABELLED other rows at most, chosen by hash; decoding is
-one pass over all rows and whole texts without a shuffle, with a 9 MB model broadcast.
+Scale: the fit is on the driver, over LABELLED labelled and UNLABELLED other rows at most, chosen by hash among those of
+SAMPLE_CHARS characters at most; decoding is one pass over all rows and whole texts without a shuffle, with a 9 MB model
+broadcast.
 
 Defined results: null, blank and subjectless texts have no row; labels that name no listed subject are ignored, a null
-label counts as none; repeated rows are reported as often as they occur; a text without any sentence mark is one sentence.
+label counts as none; repeated rows are reported as often as they occur; a text without any sentence mark is one sentence;
+a table of labels without any row leaves the chains to what the categories say.
 """
 
 from __future__ import annotations
@@ -31,7 +34,6 @@ from pyspark.sql import functions as F
 from tessera.llm.pii import CAPITAL, GIVEN, NAME_CJK
 from tessera.llm.sample import by_hash
 from tessera.llm.vec import CHUNK_CHARS, Units, chunks, mix
-from tessera.runtime import checked
 
 #: Rows of the bounded sample: labelled ones, and others that the term model learns from.
 LABELLED, UNLABELLED, SAMPLE_CHARS = 5_000, 10_000, 4_000
@@ -39,18 +41,19 @@ BITS = 18
 ROUNDS = 8
 #: A term speaks when PURE of its mass is in one class, and it was seen SEEN times.
 PURE, SEEN = 0.7, 4
-#: Units seen less often (in a sample of 20,000 sentences; fewer in a smaller one) pass for names where recurring sentences are looked for.
-COMMON = 10
+#: Units in fewer of this many sentences, or only once, pass for names where recurring sentences are looked for.
+COMMON = 2_000
 #: A sentence has no subject, with this prior: a single term that occurs elsewhere as well is not enough for one.
 NO_SUBJECT, REFERENCE_NONE = 0.95, 0.99999
 #: The round from which on that prior holds in the fit; before, the small languages' terms must form.
 CAUTIOUS_FROM = 4
 BEAM = 6
-LABEL_MASS = 0.15
 SHARE = (1, 3)
-#: Rows that the chains are fitted on at least.
-ENOUGH = 1_000
-SOURCES = 16  # hash slots for source and category in the chains
+#: What a row without a label counts for in the fit of the chains.
+PSEUDO = 0.3
+#: Categories, and sources, that are told apart in the chains: the most frequent of the sample.
+KNOWN = 64
+STRONG = 20.0  # where the evidence of a document's terms is cut
 
 RECORD = re.compile(r"^\s*(?:[{|]|-{3}\s*\n|[\w ]{1,24}\s*[:：=][^\n]{0,80}(?:\n[\w ]{1,24}\s*[:：=]|;\s*[\w ]{1,24}=))")
 CUT = re.compile(r"(?<=[。！？!?])\s*|(?<=\w\.)(?=[\s\"”'*)]|[A-ZÄÖÜÁÉÍÓÚ一-鿿])\s*|(?<=%\.)\s*|(?<=\)\.)\s*|(?<=\.\.\.)\s*|(?<=…)\s*")
@@ -122,7 +125,7 @@ def fit_terms(texts: list[str], labels: list[set[int] | None], categories: list[
     # A stock sentence that recurs but for its numbers and names counts once, or its wording would pass for a subject's.
     units = Units(parts, mask_numbers=True)
     _, number, count = np.unique(units.h, return_inverse=True, return_counts=True)
-    common = count[number] >= min(COMMON, max(2, len(parts) // 2_000))
+    common = count[number] >= max(2, len(parts) // COMMON)
     mark = np.zeros(len(parts), np.uint64)
     np.add.at(mark, units.doc[common], mix(units.h[common] + np.uint64(1)))
     once = np.sort(np.unique(mark, return_index=True)[1])
@@ -181,15 +184,15 @@ def fit_terms(texts: list[str], labels: list[set[int] | None], categories: list[
     return model
 
 
-def ridge(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression by Newton's method; the last column of x is the constant."""
+def ridge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Logistic regression of weighted rows by Newton's method; the last column of x is the constant."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        g = x.T @ ((p - y) * weight) + penalty * w
+        h = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -197,6 +200,11 @@ def ridge(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 25) -> np
     return w
 
 
+def about(count: np.ndarray) -> np.ndarray:
+    """The subjects that the terms alone give: a third of the subject-bearing sentences, as 0 or 1."""
+    return ((count > 0) & (count * SHARE[1] >= count.sum(axis=1, keepdims=True) * SHARE[0])) * 1.0
+
+
 @dataclass
 class Chains:
     subjects: list[str]
@@ -204,79 +212,88 @@ class Chains:
     order: np.ndarray
     links: np.ndarray  # one row of weights for each link, in chain order
     scale: np.ndarray  # Platt's a and b of each link
+    categories: dict[str, int]
+    sources: dict[str, int]
 
-    def measure(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: sentences about each subject, and features without the chained labels."""
+    def measure(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: sentences about each subject, what the terms say of each (text, subject, measure), and the structure."""
         k = len(self.subjects)
         parts, of = [], []
         for i, t in enumerate(texts):
             for s in sentences(t) if t else ():
                 parts.append(s)
                 of.append(i)
-        count, mass = np.zeros((len(texts), k)), np.zeros((len(texts), k + 1))
+        count, mass, evidence = np.zeros((len(texts), k)), np.zeros((len(texts), k + 1)), np.zeros((len(texts), k + 1))
+        surest = np.zeros((len(texts), k))
         if parts:
             index, row = terms(parts)
             post = self.terms.posterior(index, row, len(parts), self.terms.priors(parts))
             of = np.array(of)
             best = post.argmax(axis=1)
-            about = best < k
-            np.add.at(count, (of[about], best[about]), 1)
+            speaks = best < k
+            np.add.at(count, (of[speaks], best[speaks]), 1)
             np.add.at(mass, of, post)
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            surest[of[first]] = np.maximum.reduceat(post[:, :k], first, axis=0)
+            for c in range(k + 1):
+                evidence[:, c] = np.bincount(of[row], weights=self.terms.weights[index, c], minlength=len(texts))
         total = count.sum(axis=1, keepdims=True)
         share = count / np.maximum(total, 1)
         soft = mass[:, :k] / np.maximum(mass[:, :k].sum(axis=1, keepdims=True), 1e-9)
+        strength = np.clip(evidence[:, :k] - evidence[:, k:], -STRONG, STRONG) / STRONG
         record = np.array([bool(t) and bool(RECORD.match(t)) for t in texts], float)
         structure = np.stack([np.log1p(total[:, 0]), record, (total[:, 0] == 0) * 1.0], axis=1)
-        return count, np.concatenate([share, (share * SHARE[1] >= SHARE[0]) * 1.0, soft, structure], axis=1)
-
-    @staticmethod
-    def slots(categories: list[str], sources: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(categories), 2 * SOURCES))
-        for i, (c, s) in enumerate(zip(categories, sources)):
-            out[i, sum(map(ord, c)) % SOURCES] = 1
-            out[i, SOURCES + sum(map(ord, s or "")) % SOURCES] = 1
+        return count, np.stack([share, about(count), soft, surest, strength], axis=2), structure
+
+    def slots(self, categories: list[str], sources: list[str | None]) -> np.ndarray:
+        """One column for each known category and source, the last of either for all others."""
+        c, s = len(self.categories), len(self.sources)
+        out = np.zeros((len(categories), c + s + 2))
+        out[np.arange(len(out)), [self.categories.get(x, c) for x in categories]] = 1
+        out[np.arange(len(out)), [c + 1 + self.sources.get(x or "", s) for x in sources]] = 1
         return out
 
-    def link_features(self, base: np.ndarray, slots: np.ndarray, link: int, before: np.ndarray) -> np.ndarray:
-        """Features of one link: its own subject's measures, the strongest other share, structure, source, earlier labels."""
-        k, s = len(self.subjects), self.order[link]
-        own = base[:, [s, k + s, 2 * k + s]]
-        others = np.delete(base[:, :k], s, axis=1).max(axis=1, keepdims=True)
-        earlier = np.zeros((len(base), k))
+    def link_features(self, said: np.ndarray, rest: np.ndarray, link: int, before: np.ndarray) -> np.ndarray:
+        """Features of one link: the measures of its own subject, the strongest of the others, structure and source, earlier labels."""
+        own = said[:, self.order[link]]
+        others = np.delete(said, self.order[link], axis=1).max(axis=1, initial=0)
+        earlier = np.zeros((len(said), len(self.subjects)))
         earlier[:, :link] = before
-        return np.concatenate([own, others, base[:, 3 * k :], slots, earlier, np.ones((len(base), 1))], axis=1)
+        return np.concatenate([own, others, rest, earlier, np.ones((len(said), 1))], axis=1)
 
-    def decode(self, base: np.ndarray, slots: np.ndarray, beam: int = BEAM) -> np.ndarray:
-        """The calibrated mass of each subject over the beam of label combinations."""
-        n, k = len(base), len(self.subjects)
+    def decode(self, said: np.ndarray, rest: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest combination of labels of each text, and the calibrated mass of each subject over the beam."""
+        n, k = len(said), len(self.subjects)
         labels, logp = np.zeros((n, 1, 0)), np.zeros((n, 1))
         for link in range(k):
             width = labels.shape[1]
-            wide = np.repeat(base, width, axis=0), np.repeat(slots, width, axis=0)
-            x = self.link_features(*wide, link, labels.reshape(n * width, link))
-            z = self.scale[link, 0] * (x @ self.links[link]) + self.scale[link, 1]
-            p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9).reshape(n, width)
+            # The features but for the earlier labels are the same for the whole beam.
+            w = self.links[link]
+            at = len(w) - 1 - k
+            z = (self.link_features(said, rest, link, np.zeros((n, link))) @ w)[:, None] + labels @ w[at : at + link]
+            z = self.scale[link, 0] * z + self.scale[link, 1]
+            p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
             both = np.concatenate([logp + np.log(1 - p), logp + np.log(p)], axis=1)
             grown = np.concatenate(
                 [np.concatenate([labels, np.zeros((n, width, 1))], axis=2), np.concatenate([labels, np.ones((n, width, 1))], axis=2)], axis=1
             )
-            best = np.argsort(-both, axis=1)[:, :beam]
+            best = np.argsort(-both, axis=1, kind="stable")[:, :beam]
             logp = np.take_along_axis(both, best, axis=1)
             labels = np.take_along_axis(grown, best[:, :, None], axis=1)
         p = np.exp(logp - logp.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        mass = np.zeros((n, k))
+        chosen, mass = np.zeros((n, k), bool), np.zeros((n, k))
+        chosen[:, self.order] = labels[:, 0] > 0
         mass[:, self.order] = (labels * p[:, :, None]).sum(axis=1)
-        return mass
+        return chosen, mass
 
     def subjects_of(self, texts: list[str | None], categories: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, subject number) of each label that stands, and its mass."""
-        count, base = self.measure(texts)
-        mass = self.decode(base, self.slots([tidy(c) for c in categories], sources))
-        total = count.sum(axis=1, keepdims=True)
-        stands = (mass >= LABEL_MASS) & (count > 0) & (count * SHARE[1] >= total * SHARE[0])
-        where = np.argwhere(stands)
-        return where, mass[stands]
+        """(text number, subject number) of each decoded label, and its mass."""
+        _, said, structure = self.measure(texts)
+        rest = np.concatenate([structure, self.slots([tidy(c) for c in categories], sources)], axis=1)
+        chosen, mass = self.decode(said, rest)
+        chosen[np.array([not t or t.isspace() for t in texts], bool)] = False
+        return np.argwhere(chosen), mass[chosen]
 
 
 def tidy(category: str | None) -> str:
@@ -295,42 +312,41 @@ def train(rows: list[tuple[str, str | None, str | None, list[str | None] | None]
     model = fit_terms(texts, given, categories, seeds, k)
     frequency = Counter(s for g in given if g for s in g)
     order = np.array(sorted(range(k), key=lambda s: (-frequency[s], s)))
-    chains = Chains(names, model, order, np.zeros((k, 0)), np.tile([1.0, 0.0], (k, 1)))
-    at = [i for i, g in enumerate(given) if g is not None]
-    labelled = len(at)
-    # Where labels are few, rows without one fill up the fit, labelled by the terms.
-    at += [i for i, g in enumerate(given) if g is None][: max(0, ENOUGH - labelled)]
-    count, base = chains.measure([texts[i] for i in at])
-    slots = chains.slots([categories[i] for i in at], [rows[i][2] for i in at])
-    y = ((count > 0) & (count * SHARE[1] >= count.sum(axis=1, keepdims=True) * SHARE[0])).astype(float)
-    for j, i in enumerate(at[:labelled]):
-        y[j] = 0
-        y[j, list(given[i])] = 1
-    fold = np.arange(len(at)) % 2
+    known = lambda values: {x: i for i, (x, _) in enumerate(sorted(Counter(values).items(), key=lambda c: (-c[1], c[0]))[:KNOWN])}
+    chains = Chains(names, model, order, np.zeros((k, 0)), np.tile([1.0, 0.0], (k, 1)), known(categories), known(r[2] or "" for r in rows))
+    count, said, structure = chains.measure(texts)
+    rest = np.concatenate([structure, chains.slots(categories, [r[2] for r in rows])], axis=1)
+    y = about(count)
+    for i, g in enumerate(given):
+        if g is not None:
+            y[i] = 0
+            y[i, list(g)] = 1
+    weight = np.array([PSEUDO if g is None else 1.0 for g in given])
+    fold = np.arange(len(rows)) % 2
     links = []
     for link in range(k):
-        x = chains.link_features(base, slots, link, y[:, order[:link]])
+        x = chains.link_features(said, rest, link, y[:, order[:link]])
         target = y[:, order[link]]
-        links.append(ridge(x, target))
-        z = np.zeros(len(at))
+        links.append(ridge(x, target, weight))
+        z = np.zeros(len(rows))
         for f in (0, 1):
             if (fold != f).any():
-                z[fold == f] = x[fold == f] @ ridge(x[fold != f], target[fold != f])
-        chains.scale[link] = ridge(np.stack([z, np.ones(len(z))], axis=1), target, 1e-3)
+                z[fold == f] = x[fold == f] @ ridge(x[fold != f], target[fold != f], weight[fold != f])
+        chains.scale[link] = ridge(np.stack([z, np.ones(len(z))], axis=1), target, weight, 1e-3)
     chains.links = np.array(links)
     return chains
 
 
 def fit_on(nodes: DataFrame, labels: DataFrame, subjects: DataFrame) -> Chains:
     """Fit on the bounded sample of (id, text, category, source), (node_id, subject) and the subjects' table, which is small."""
-    listed = checked(subjects.select("subject", "label_zh").filter("subject is not null").distinct(), 256, "subjects")
+    listed = subjects.filter("subject is not null").groupBy("subject").agg(F.min("label_zh").alias("label_zh"))
     areas = [(r.subject, r.label_zh) for r in listed.orderBy("subject").collect()]
     short = nodes.select("id", "text", "category", "source").filter(F.length("text").between(1, SAMPLE_CHARS))
     given = labels.filter("node_id is not null").groupBy("node_id").agg(F.collect_set("subject").alias("labels"))  # a null label leaves an empty set
     given = by_hash(given, "node_id", LABELLED)
     labelled = short.join(F.broadcast(given), short.id == given.node_id)  # at most LABELLED rows
     # The others by hash alone; a labelled row among them is dropped here, on the driver, where both samples are.
-    rest = by_hash(short, "id", UNLABELLED, nodes.count())
+    rest = by_hash(short, "id", UNLABELLED)
     first = labelled.orderBy("id").select("id", "text", "category", "source", "labels").collect()
     known = {r.id for r in first}
     rows = [(r.text, r.category, r.source, list(r.labels)) for r in first]
