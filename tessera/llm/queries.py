@@ -17,11 +17,13 @@ from tessera.runtime import load, materialise
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pending note that repeats an accepted node, with the smallest id of those it repeats."""
-    nodes = load(spark, sf_dir, "nodes").select("id", "text")
+    """Each pending note that repeats an accepted node, with the smallest id of those it repeats.
+
+    All days go through the index at once: it holds nodes only here, and what one day brings is no case for another.
+    """
+    stored = _history.History.build(load(spark, sf_dir, "nodes").select("id", "text"))
     pending = load(spark, sf_dir, "pending").select(F.col("id").alias("batch_id"), F.col("content").alias("text"))
-    history = _history.History.build(nodes)
-    return history.match(pending, nodes).select(F.col("batch_id").alias("pending_id"), "node_id")
+    return _history.History.open(spark, stored.path).match(pending).select(F.col("batch_id").alias("pending_id"), "node_id")
 
 
 def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,8 @@ def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = load(spark, sf_dir, "nodes").select("id", "text")
     pending = load(spark, sf_dir, "pending").select(F.col("id").alias("batch_id"), F.col("content").alias("text"), F.to_date("created_at").alias("day"))
     stored = _history.History.build(nodes)
-    rows = _history.accept_in_order(_history.History.open(spark, stored.path), pending, nodes)
+    first_id = (nodes.agg(F.max("id")).first()[0] or 0) + 1
+    rows = _history.accept_backlog(_history.History.open(spark, stored.path), pending, first_id)
     return rows.select(F.col("batch_id").alias("pending_id"), "node_id", "new_id")
 
 

@@ -138,11 +138,23 @@ def membership(bands: Bands, n: np.ndarray, index: bool) -> tuple[np.ndarray, np
     return rec, band, t.differing(n[rec] + partner)
 
 
-def emit(bands: Bands, toks: np.ndarray, ends: np.ndarray, n: np.ndarray, index: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) rows of a batch of sets given as flat 32-bit tokens; two similar sets share at least one key."""
+def rows_of(bands: Bands, sizes: dict[int, int], index: bool = True) -> int:
+    """About how many rows `emit` gives for so many sets of each size."""
+    n = np.array(list(sizes), dtype=np.int64)
+    rec, band, u = membership(bands, n, index)
+    p = bands.p[band]
+    each = p + np.maximum(0, u + 1 - 2 * p) + np.where(p > 0, n[rec], 0)
+    return int((each * np.array(list(sizes.values()), dtype=np.int64)[rec]).sum())
+
+
+def emit(bands: Bands, toks: np.ndarray, ends: np.ndarray, n: np.ndarray, index: bool = True) -> tuple[np.ndarray, ...]:
+    """(set number, key, band, step) rows of a batch of sets given as flat 32-bit tokens; two similar sets share at least one key.
+
+    step numbers a set's keys in a band from the rarest on, 0 also for the neighbourhoods of segments worth two.
+    """
     rec, band, u = membership(bands, n, index)
     if not len(rec):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     starts, counts = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
     m, p = bands.m[band], bands.p[band]
     base = np.cumsum(m) - m
@@ -170,9 +182,10 @@ def emit(bands: Bands, toks: np.ndarray, ends: np.ndarray, n: np.ndarray, index:
     rank = np.empty(total, np.int64)
     rank[order] = place  # the sort keeps sets apart, so places and ranks run over the same numbers
     kept = rank < (p + np.maximum(0, u + 1 - 2 * p))[of]
-    out_rec, out_key = rec[of[kept]], keys[kept]
+    out = [rec[of[kept]], keys[kept], band[of[kept]], np.maximum(0, rank - p[of])[kept]]
     two = segment < p[pair]
     if two.any():
         shorter = key(subset[cell[two]] - content[two], segment[two], pair[two])
-        out_rec, out_key = np.concatenate([out_rec, rec[pair[two]]]), np.concatenate([out_key, shorter])
-    return out_rec, out_key.view(np.int64)
+        near = [rec[pair[two]], shorter, band[pair[two]], np.zeros(len(shorter), np.int64)]
+        out = [np.concatenate(x) for x in zip(out, near)]
+    return out[0], out[1].view(np.int64), out[2], out[3]

@@ -160,7 +160,7 @@ def test_two_worth_segments_lose_no_pair():
         sets += [base, [x for x in base if rng.random() > 0.08] or base, base[1:] + [9999]]
     flat = np.array([x * 2654435761 % (1 << 32) for s in sets for x in s], dtype=np.uint32)
     n = np.array([len(s) for s in sets])
-    rec, key = segments.emit(bands, flat, np.cumsum(n), n)
+    rec, key, _, _ = segments.emit(bands, flat, np.cumsum(n), n)
     of = [set() for _ in sets]
     for r, k in zip(rec.tolist(), key.tolist()):
         of[r].add(k)
@@ -186,17 +186,15 @@ def test_history(spark):
 
     want = {f"p{i}": best(i, t) for i, t in enumerate(new)}
     want = {k: v for k, v in want.items() if v is not None}
-    assert {r.batch_id: r.node_id for r in index.match(batch, nodes).collect()} == want and want
+    assert {r.batch_id: r.node_id for r in index.match(batch).collect()} == want and want
     # A second batch meets what the first one added; the index is opened anew from its files.
-    rows = history.accept(history.History.open(spark, index.path), batch, nodes, 1000).collect()
+    rows = history.accept(history.History.open(spark, index.path), batch, 1000).collect()
     added = {r.new_id: r.batch_id for r in rows if r.new_id is not None}
     assert sorted(added) == list(range(1000, 1000 + len(added)))
-    text = {f"p{i}": t for i, t in enumerate(new)}
-    grown = nodes.unionByName(spark.createDataFrame([(i, text[p]) for i, p in added.items()], "id long, text string"))
     probe = spark.createDataFrame([("again", "fresh one"), ("other", "wholly unlike")], "batch_id string, text string")
-    got = {r.batch_id: r.node_id for r in history.History.open(spark, index.path).match(probe, grown).collect()}
+    got = {r.batch_id: r.node_id for r in history.History.open(spark, index.path).match(probe).collect()}
     assert set(got) == {"again"} and added[got["again"]] == f"p{new.index('fresh one')}"
-    assert index.match(batch.limit(0), nodes).count() == 0
+    assert index.match(batch.limit(0)).count() == 0
 
 
 def test_batches_in_order(spark, tmp_path):
@@ -215,3 +213,42 @@ def test_batches_in_order(spark, tmp_path):
     assert got["a"] == (got["b"][1], None) and got["g"] == (min(got["e"][1], got["f"][1]), None)
     key = keys(spark, old)
     assert got["c"][0] <= 3 and got["c"][1] is None and (key[got["c"][0]] == key[3] or similar(token_set(old[got["c"][0]]), token_set(old[3])))
+
+
+def test_backlog_is_what_the_days_give_one_after_another(spark):
+    rng = random.Random(5)
+    old = notes(40, 21)
+    pool = notes(60, 22) + old[::5]
+    rows = [(f"{i:03d}", rng.choice(pool), f"2026-01-{rng.randint(1, 6):02d}") for i in range(150)]
+    nodes = spark.createDataFrame(list(enumerate(old)), "id long, text string")
+    pending = spark.createDataFrame(rows, "batch_id string, text string, day string")
+    at_once = history.accept_backlog(history.History.build(nodes), pending, 100)
+    got = {r.batch_id: (r.node_id, r.new_id) for r in at_once.collect()}
+    index, want, first = history.History.build(nodes), {}, 100
+    for day in sorted({d for _, _, d in rows}):
+        done = {r.batch_id: (r.node_id, r.new_id) for r in history.accept(history.History.open(spark, index.path), pending.filter(F.col("day") == day), first).collect()}
+        first += sum(n is not None for _, n in done.values())
+        want |= done
+    assert got == want and len(want) == len(rows)
+    assert sum(n is not None for _, n in want.values()) > 20 and sum((n or 0) >= 100 for n, _ in want.values()) > 20
+
+
+def test_a_lost_append_leaves_the_index_as_it_was(spark, monkeypatch):
+    nodes = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two three four")], "id long, text string")
+    more = spark.createDataFrame([(3, "red green blue white")], "id long, text string")
+    probe = spark.createDataFrame([("a", "Red green blue white"), ("b", "alpha beta gamma delta")], "batch_id string, text string")
+    index = history.History.build(nodes)
+
+    def lost(*_):
+        raise OSError("lost")
+
+    for where, name in ((history.Manifest, "commit"), (history.History, "_file")):
+        with monkeypatch.context() as m:
+            m.setattr(where, name, lost)
+            with pytest.raises(OSError):
+                index.append(more)
+        assert {(r.batch_id, r.node_id) for r in history.History.open(spark, index.path).match(probe).collect()} == {("b", 1)}
+    monkeypatch.setattr(history, "MOST_GENERATIONS", 2)
+    for i in range(4):
+        index.append(more.withColumn("id", F.col("id") + 10 * i))  # merged on the way
+    assert {(r.batch_id, r.node_id) for r in history.History.open(spark, index.path).match(probe).collect()} == {("a", 3), ("b", 1)}
