@@ -1,11 +1,14 @@
 """Problem 8: template residue, filler, error pages and script notices in place of content.
 
-Method: a regularised linear classifier on hashed n-grams, length and title features. Its labels are weak ones: response
-statuses ("404 Not Found") and stock phrases in four languages; what only mentions such a phrase (in quotes, or amid
-longer text) is labelled as content. It is fitted on segments (lines, and sentences in them) of a bounded sample of
-documents (TRAIN_DOCS, by hash of the id), refitted once with its own sure predictions on the segments that no phrase
-labels, and validated on hosts that were held out. A document is residue when the segments so classified hold more than
-half of its characters.
+Method: a regularised linear classifier on hashed n-grams, length, title and wording features. Its labels are weak ones:
+response statuses ("404 Not Found") and stock phrases in four languages; what only mentions such a phrase (in quotes, or
+amid longer text) is labelled as content. Filler has no list: its segments are known by their wording. They repeat
+themselves, or they are runs of words without any of the small words that every language needs, made of words that hardly
+ever stand in a sentence that has some (`company`). All else is unlabelled, not content: a first fit sets the labelled
+residue against it with a smaller weight, and the second takes from it only what the first is sure of (positive-unlabelled
+learning in two steps). It is fitted on segments (lines, and sentences in them) of a bounded sample of documents
+(TRAIN_DOCS, by hash of the id) and validated on hosts that were held out. A document is residue when the segments so
+classified hold more than half of its characters.
 
 Scale: the fit runs on the driver over the sample only; scoring is one pass without a shuffle over all documents and whole
 texts, with the weights (2^18 floats, 1 MB) broadcast.
@@ -17,6 +20,7 @@ the sample no document is residue; repeated documents are reported as often as t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +38,23 @@ TRAIN_DOCS, TRAIN_CHARS = 4_000, 6_000
 SIZE = 1 << 18
 SYMBOLS = "{}[]<>$%_#/【】《》…|=*"
 RESIDUE_SHARE = 0.5
+#: Words of a segment that wording can tell anything of, and those of one that repeats itself.
+SAID, REPEATED = 6, 4
+#: The share of a filler word's segments that may hold a small word, and how often a word must be seen to tell.
+COMPANY, SEEN = 0.2, 3
+#: What an unlabelled segment counts for in the first fit, beside a labelled one.
+UNLABELLED = 0.3
+
+# Small words of English, German, Spanish and French.
+SMALL_WORDS = frozenset(
+    "a about after all also an and any are as at be been before but by can could did do does for from had has have he her his how if in into is it its"
+    " may more must no nor not of off on one or our out over she should so some such than that the their them then there these they this those to under up"
+    " us was we were what when which while who will with without would you your"
+    " ab aber als am auf aus bei bis da das dass dem den der des die durch ein eine einem einen einer es für galt hat ich ihr im ist kann kein man mit"
+    " nach nicht nur oder ohne sich sie sind über um und unter vom von vor war wenn werden wie wird wir zu zum zur"
+    " al con cuando de del el en entre era es esta este fue hay la las le lo los más ni no o para pero por que se según ser si sin sobre son su sus un una y"
+    " au aux avec ce ces dans du elle est et ils je les leur mais ne nous ou par pas plus pour qui sa son sur une vous".split()
+)
 
 # Stock phrases (lower case) and response statuses.
 CUES = [
@@ -59,6 +80,9 @@ SLOTS = [
 CUE = re.compile("|".join(f"(?:{c})" for c in CUES))
 SLOT = re.compile("|".join(f"(?:{c})" for c in SLOTS))
 LATIN_WORD, CJK_CHAR = re.compile(r"[a-zà-öø-ÿ]{2,}"), re.compile("[一-鿿]")
+ANY_WORD = re.compile(r"[a-zà-öø-ÿ]+(?:['’-][a-zà-öø-ÿ]+)*")
+#: What no running text consists of: fields, figures, codes, links and rows.
+FORMED = re.compile(r"[\d:=|{}\[\]<>/\\@#_]")
 QUOTED = re.compile(r"[\"'“”‘’「」‚‘„«»][^\"'“”‘’「」„«»]{2,80}[\"'“”‘’「」“«»]")
 CUT = re.compile(r"\n+|(?<=[。！？!?])|(?<=[.…])[ \t\xa0]+|</?\w[^<>\n]{0,80}>")
 SKIP = re.compile(r"[\s\-*|>#]+")
@@ -87,8 +111,55 @@ def weak_label(segment: str) -> int:
     return -1
 
 
-def features(texts: list[str], titles: list[int]) -> Sparse:
-    """Hashed features of segments: n-grams of one to three units, a length class, and the title class of the document."""
+@dataclass
+class Wording:
+    """How a segment is worded: its words, its small words, whether it repeats itself, and whether it is running text."""
+
+    words: list[str]
+    small: int
+    repeats: bool
+    running: bool
+
+    @classmethod
+    def of(cls, segment: str) -> Wording:
+        low = segment.lower()
+        words = ANY_WORD.findall(low)
+        cjk = CJK_CHAR.findall(low)
+        small = sum(w in SMALL_WORDS for w in words)
+        pairs = list(zip(cjk, cjk[1:]))
+        repeats = (
+            len(words) >= REPEATED and not small and len(set(words)) * 2 <= len(words) and not cjk
+            or len(pairs) >= 2 * REPEATED and len(set(pairs)) * 3 <= len(pairs) and not words
+        )
+        return cls(words, small, repeats, not cjk and not FORMED.search(segment))
+
+    def number(self) -> int:
+        """A class of wording, a feature: how many small words there are among how many, repetition, and running text."""
+        share = 0 if not self.small else 1 + min(3, 8 * self.small // len(self.words))
+        long = 0 if not self.words else 1 + (len(self.words) >= SAID)
+        return ((share * 3 + long) * 2 + self.repeats) * 2 + self.running
+
+
+def filler(wordings: list[Wording]) -> np.ndarray:
+    """Which segments are filler by their wording, set against the company that their words keep in all of them."""
+    seen, beside = Counter(), Counter()
+    for w in wordings:
+        own = set(w.words)
+        seen.update(own)
+        if w.small:
+            beside.update(own)
+    lone = {x for x, n in seen.items() if n >= SEEN and beside[x] <= COMPANY * n}
+
+    def one(w: Wording) -> bool:
+        known = [x for x in w.words if seen[x] >= SEEN]
+        strange = sum(x in lone for x in known)
+        return w.repeats or w.running and not w.small and len(w.words) >= SAID and strange * 4 >= 3 * len(w.words)
+
+    return np.array([one(w) for w in wordings], bool)
+
+
+def features(texts: list[str], titles: list[int], wordings: list[Wording] | None = None) -> Sparse:
+    """Hashed features of segments: n-grams of one to three units, a length class, the title class of the document, the wording."""
     units = Units(texts, SYMBOLS, mask_numbers=True)
     h, doc = units.h, units.doc
     grams, rows = [h], [doc]
@@ -102,6 +173,9 @@ def features(texts: list[str], titles: list[int]) -> Sparse:
             rows.append(doc[: len(h) - n + 1][same])
     size = np.minimum(np.log2(units.n + 1), 8).astype(np.uint64)
     each = np.arange(len(texts))
+    worded = np.array([w.number() for w in wordings or map(Wording.of, texts)], np.uint64)
+    grams += [mix(worded + np.uint64(4000)), mix(worded * np.uint64(16) + size + np.uint64(5000))]
+    rows += [each, each]
     grams += [mix(size + np.uint64(1000)), mix(np.asarray(titles, np.uint64) + np.uint64(2000)), mix(size * np.uint64(8) + np.asarray(titles, np.uint64) + np.uint64(3000))]
     rows += [each, each, each]
     return Sparse(mix(np.concatenate(grams)) >> np.uint64(64 - 18), np.concatenate(rows), len(texts))
@@ -143,50 +217,50 @@ class Model:
 
 
 def train(rows: list[tuple[str, str | None, str]]) -> Model:
-    """Fit on (text, title, host) rows, hosts with the hash below a fifth being held out for validation first."""
-    pieces, kinds, labels, hosts, of = [], [], [], [], []
+    """Fit on (text, title, host) rows, a fifth of the hosts being held out for validation first."""
+    pieces, kinds, hosts, of = [], [], [], []
     for i, (text, title, host) in enumerate(rows):
         own = segments(text)
-        marks = [weak_label(s) for s in own]
-        hit = any(m == 1 for m in marks)
-        for s, m in zip(own, marks):
-            pieces.append(s), kinds.append(title_class(title)), hosts.append(host), of.append(i)
-            # No phrase: content where the whole document has none; unknown beside one.
-            labels.append(m if m >= 0 else (-1 if hit else 0))
-    y = np.array(labels)
-    if not len(y) or not (y == 1).any():
+        pieces += own
+        kinds += [title_class(title)] * len(own)
+        hosts += [host] * len(own)
+        of += [i] * len(own)
+    y = np.array([weak_label(s) for s in pieces])  # 1 residue, 0 a mention, -1 unlabelled
+    if not len(y):
+        return Model(np.zeros(SIZE), -30.0)
+    wordings = [Wording.of(s) for s in pieces]
+    y[filler(wordings)] = 1
+    if not (y == 1).any():
         return Model(np.zeros(SIZE), -30.0)
-    x = features(pieces, kinds)
+    # What stands beside residue is as likely residue itself, and no part of the first fit.
+    of = np.array(of)
+    beside = (y < 0) & (np.bincount(of, weights=y == 1)[of] > 0)
+    x = features(pieces, kinds, wordings)
     names = sorted({h for h in hosts if h}, key=lambda h: (sum(map(ord, h)) * 31 % 97, h))
-    out = set(names[: max(1, len(names) // 5)])  # a fifth of the hosts; documents without one are never held out
+    out = set(names[: max(1, len(names) // 5)])  # documents without a host are never held out
     held = np.array([h in out for h in hosts])
 
-    def fitted(which: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-        part = target[which]
-        share = max(part.mean(), 1e-3)
-        weight = np.where(part == 1, 0.5 / share, 0.5 / max(1 - share, 1e-3))
+    def fitted(which: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+        part, weight = target[which], weight[which].astype(float)
+        for c in (0, 1):
+            weight[part == c] *= 0.5 / max(weight[part == c].sum(), 1e-9)
         return fit(x.take(which), part.astype(float), SIZE, weight)
 
-    def refitted(known: np.ndarray) -> tuple[np.ndarray, float]:
-        w, b = fitted(known, y)
+    def twice(inside: np.ndarray) -> tuple[np.ndarray, float]:
+        target = np.maximum(y, 0)
+        w, b = fitted(inside[~beside[inside]], target, np.where(y < 0, UNLABELLED, 1.0))
         p = sigmoid(x.score(w, b))
         sure = np.where(p > 0.9, 1, np.where(p < 0.1, 0, -1))
         target = np.where(y >= 0, y, sure)
-        # A pseudo-label is taken only for segments beside a phrase; held-out hosts stay out of the fit.
-        allowed = np.zeros(len(y), bool)
-        allowed[known] = True
-        allowed |= (y < 0) & (sure >= 0) & ~(held & validating)
-        return fitted(np.flatnonzero(allowed), target)
+        return fitted(inside[target[inside] >= 0], target, np.ones(len(y)))
 
-    validating = True
     model = Model(np.zeros(SIZE), 0.0)
-    inside, outside = np.flatnonzero((y >= 0) & ~held), np.flatnonzero((y >= 0) & held)
+    inside, outside = np.flatnonzero(~held), np.flatnonzero((y >= 0) & held)
     if len(outside) and (y[inside] == 1).any():
-        w, b = refitted(inside)
+        w, b = twice(inside)
         model.held_out = len(outside)
         model.accuracy = float(((x.take(outside).score(w, b) > 0) == (y[outside] == 1)).mean())
-    validating = False
-    model.weights, model.bias = refitted(np.flatnonzero(y >= 0))
+    model.weights, model.bias = twice(np.arange(len(y)))
     return model
 
 
@@ -194,7 +268,7 @@ def fit_on(documents: DataFrame, docs: int = TRAIN_DOCS) -> Model:
     """Fit on the bounded sample of (doc_id, title, text, source_url)."""
     host = F.regexp_extract(F.coalesce("source_url", F.lit("")), r"^https?://([^/]+)", 1)
     short = documents.select("doc_id", "title", "text", host.alias("host")).filter(F.length("text").between(1, TRAIN_CHARS))
-    rows = by_hash(short, "doc_id", docs, documents.count()).collect()
+    rows = by_hash(short, "doc_id", docs).collect()
     return train([(r.text, r.title, r.host) for r in rows])
 
 
