@@ -46,7 +46,11 @@ DIGIT_WORDS = {
 } | {"oh": "0", "zwo": "2"}
 CJK_DIGITS = dict(zip("零一二三四五六七八九", "0123456789")) | {"〇": "0", "幺": "1"}
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\s,-]+(?:{_WORD})){{4,}}(?!\w)", re.I)
+_SAID = rf"(?:(?:double|treble|triple|doppel)[\s-]*)?(?:{_WORD})"
+SPELLED = re.compile(rf"(?<!\w){_SAID}(?:[\s,-]+{_SAID}){{4,}}(?!\w)", re.I)
+# Digits among the words, where a repeated digit is said.
+SPELLED_MIXED = re.compile(rf"(?<![\w.-])(?:(?:\d{{1,4}}|{_SAID})[\s,-]+)*(?:double|treble|triple)[\s-]+(?:{_WORD})(?:[\s,-]+(?:\d{{1,4}}|{_SAID}))*(?![\w-])", re.I)
+SPELLED_PART = re.compile(rf"\d+|(double|treble|triple|doppel)?[\s-]*({_WORD})", re.I)
 SPELLED_CJK = re.compile("[零〇幺一二三四五六七八九]{7,}")
 AT = re.compile(r"(?<=[A-Za-z0-9])\s*[\[({<]\s*(?:at|@|a|arroba|ät)\s*[\])}>]\s*(?=[A-Za-z0-9])", re.I)
 DOT = re.compile(r"(?<=[A-Za-z0-9])\s*[\[({<]\s*(?:dot|punkt|punto|\.|点)\s*[\])}>]\s*(?=[A-Za-z0-9])", re.I)
@@ -148,6 +152,26 @@ def _name(flags: int, cap: str) -> re.Pattern:
 NAME = _name(0, r"[A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñ]+")
 NAME_ANY = _name(re.I, r"[A-Za-zäöüßáéíóúñÄÖÜÁÉÍÓÚÑ]{3,}")
 TITLED = re.compile(rf"(?<!\w)(?<!\d\s)(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Herrn?|Frau|Sr\.|Sra\.)\s{{1,2}}[A-ZÄÖÜ][a-zäöüß]+(?![\w-])")
+# Names of no list are known by where they stand: as the value of a person's field, as a signature, and beside the words of what
+# people do. These words, and the words of what is no person.
+_THING = (
+    "Team|Group|Gruppe|Equipo|Grupo|Desk|Office|Büro|Oficina|Project|Projekt|Proyecto|Station|Site|Standort|Platform|Plattform|Plataforma|Service|Dienst|Servicio|System|Sistema|Server|Department|Abteilung|Support"
+    "|Committee|Board|University|Company|Bank|Court|Hospital|Lab|Labor|Laboratorio|Center|Centre|Zentrum|Centro|Road|Street|Avenue|Lane|Drive|The|This|That|These|Those|Der|Die|Das|El|La|Los|Las"
+)
+_ONE = r"(?:(?:[A-Z][’'])?[A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñ]+(?:[-’'][A-ZÄÖÜÁÉÍÓÚÑ][a-zäöüßáéíóúñ]+)?)"
+_PERSON = rf"(?!(?:{_ONE}\s+)?(?:{_THING})\b){_ONE}(?:\s[A-Z]\.)?(?:\s(?:van|von|de|der|den|del|la|al|bin))?\s(?!(?:{_THING})\b){_ONE}(?:[^\S\n](?!(?:{_THING})\b){_ONE})?"
+_LATIN_FIELD = "contact|owner|author|reviewer|assignee|reporter|editor|approver|signed by|created by|confirmed by|Ansprechpartner|Verfasser|Autor|Autorin|Bearbeiter|Kontakt|responsable|contacto|revisor|firmado por"
+NAMES_PLACED = [
+    re.compile(rf"(?i:(?<![A-Za-z])(?:{_LATIN_FIELD}))[\"”]?\s{{0,2}}[:=|]\s{{0,2}}[\"“]?({_PERSON})(?=[\"”]?[^\S\n]*(?:[\n;,|.}}]|$))"),
+    re.compile(rf"(?:^|(?<=\n))[^\S\n]*(?:-{{2}}|[—–]{{1,2}}|~{{1,2}}|_{{2}})[^\S\n]*\n[^\S\n]*({_PERSON})(?=[^\S\n]*(?:\n|\Z))"),
+    re.compile(rf"(?i:(?<![A-Za-z])(?:thanks to|approved by|reviewed by|written by|signed by|confirmed by|reported by|spoke (?:to|with)|talked to|gracias a|aprobado por|firmado por|freigegeben von|geprüft von))\s({_PERSON})(?![\w-])"),
+    re.compile(rf"(?<![\w-])({_PERSON})(?=\s(?:signed off|has signed|has approved|approved this|has agreed|said that|told us|wrote to us|hat zugestimmt|hat bestätigt|hat unterschrieben|firmó|confirmó|aprobó)(?!\w))"),
+]
+#: The cheap test: what one of these patterns needs, in lower case.
+PLACED_SIGNS = (
+    *_LATIN_FIELD.lower().split("|"), "thanks to", " by ", "spoke ", "talked ", "gracias a", "freigegeben", "geprüft", "aprobado", "firmado", "signed", "approved", "agreed",
+    "said that", "told us", "wrote to", "zugestimmt", "bestätigt", "unterschrieben", "firmó", "confirmó", "aprobó", "--", "—", "–", "~", "__",
+)
 # Two-character surnames, and characters common in given names (besides the rarer ones of GIVEN_CJK).
 COMPOUND = "欧阳|司马|上官|诸葛|司徒|东方|皇甫|尉迟|公孙|慕容|令狐|端木|夏侯|长孙|宇文|轩辕|闻人|南宫|独孤|申屠|澹台|钟离|呼延|鲜于|司空|百里|东郭|西门|公羊|赫连"
 GIVEN_COMMON = (
@@ -185,9 +209,15 @@ NAMES_CJK = [
     re.compile(rf"(?<=[据跟与])(?!{NO_NAME}){_SURNAME}[一-鿿]{{1,2}}?(?=\s?说[，,：:])"),
     re.compile(rf"(?!{NO_NAME}){_SURNAME}{_GIVEN_ANY}(?=\s?(?:说[，,：:]|已经?确认|老师|跟进|请(?![求假示教])))"),
 ]
+NAMES_CJK += [
+    # After a person's field that has no sign, and after whom one turns to; and the second of two such.
+    re.compile(rf"(?:作者|经办人|审核人|审批人|记录人|报告人|跟进人|责任人|值班人)(?!{NO_NAME})({_SURNAME}{_GIVEN_ANY})(?![一-鿿])"),
+    re.compile(rf"(?:联系|请教|转告|通知|询问)[^\S\n]?(?!{NO_NAME})({_SURNAME}{_GIVEN_ANY})(?=[^\S\n]?(?:[或和与及、，。；,;.!！\n]|\Z))"),
+    re.compile(rf"(?<=\x00)[^\S\n]?[或和与及、][^\S\n]?(?!{NO_NAME})({_SURNAME}{_GIVEN_ANY})(?=[^\S\n]?(?:[、，。；,;.!！\n]|\Z))"),
+]
 NAME_CJK = NAMES_CJK[0]
 LEADING = " \t\n\xa0:：=|\"“"  # what a field may have between its name and its value
-CJK_SIGN = re.compile(rf"[{SURNAMES}][{GIVEN_CJK}]|说[，,：:]|确认|跟进|老师|请|@[一-鿿]|(?:^|\n)[^\S\n]*(?:--|[—–~]|__)|(?i:{PERSON_FIELD}|{MAY_BE_PERSON_FIELD})")
+CJK_SIGN = re.compile(rf"[{SURNAMES}][{GIVEN_CJK}]|说[，,：:]|确认|跟进|老师|请|联系|转告|通知|询问|@[一-鿿]|(?:^|\n)[^\S\n]*(?:--|[—–~]|__)|(?i:{PERSON_FIELD}|{MAY_BE_PERSON_FIELD})")
 
 
 def _replace(text: str, at: list[int] | None, spans: list[tuple[int, int, str]]) -> tuple[str, list[int] | None]:
@@ -199,11 +229,21 @@ def _replace(text: str, at: list[int] | None, spans: list[tuple[int, int, str]])
     for start, end, new in spans:
         out += [text[last:start], new]
         where += at[last:start]
-        where += [at[start]] * len(new)
+        # The last of several characters stands for the end of the span, so that a mention that ends with it covers all of it.
+        where += [at[start]] * (len(new) - 1) + [at[end] - 1] if len(new) > 1 else [at[start]] * len(new)
         last = end
     return "".join([*out, text[last:]]), where + at[last:]
 
 
+def digits(said: str) -> str:
+    """The digits of a spelled number; what is said to be double or triple is repeated."""
+    out = []
+    for m in SPELLED_PART.finditer(said.lower()):
+        times = {None: 1, "triple": 3, "treble": 3}.get(m.group(1), 2)
+        out.append(DIGIT_WORDS[m.group(2)] * times if m.group(2) else m.group())
+    return "".join(out)
+
+
 def normalise(text: str) -> tuple[str, list[int] | None]:
     """The text without disguises, and the source offset of each character (None where no offset moved)."""
     out = text if text.isascii() else text.translate(ONE_TO_ONE)
@@ -221,7 +261,9 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
             spans += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in BARE_DOT.finditer(m.group(3))]
             spans.append((m.start(4), m.end(4), "."))
         out, at = _replace(out, at, spans)
-    spelled = [(m.start(), m.end(), "".join(DIGIT_WORDS[w] for w in re.findall(_WORD, m.group().lower()))) for m in SPELLED.finditer(out)]
+    spelled = [(m.start(), m.end(), digits(m.group())) for m in SPELLED.finditer(out)]
+    if "ble" in low or "triple" in low:
+        spelled += [(m.start(), m.end(), digits(m.group())) for m in SPELLED_MIXED.finditer(out) if not any(a < m.end() and m.start() < b for a, b, _ in spelled)]
     if not out.isascii():
         spelled += [(m.start(), m.end(), "".join(CJK_DIGITS[c] for c in m.group())) for m in SPELLED_CJK.finditer(out)]
     if spelled:
@@ -229,6 +271,16 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
     return out, at
 
 
+def capitalised(text: str) -> str:
+    """The text with capitals at the beginnings of words and no others; each character stays one, so that offsets hold."""
+    out, inside = [], False
+    for c in text:
+        new = c.lower() if inside else c.upper()
+        out.append(new if len(new) == 1 else c)
+        inside = c.isalpha()
+    return "".join(out)
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each mention, as offsets into the text itself."""
     if not text:
@@ -251,7 +303,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
     work = take("phone", (PHONE,), work)
     if SEVEN_DIGITS.search(work):
         work = take("phone", (PHONE_ABROAD, PHONE_SAID), work)
-    cased = work if not (work.isupper() or work.islower()) else work.title()
+    cased = work if not (work.isupper() or work.islower()) else capitalised(work)
     if ADDRESS_SIGN.search(cased):
         before = len(found)
         cased = take("address", ADDRESS, cased)
@@ -264,6 +316,9 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
         work = take("name", (NAME,), work)
     if ". " in work or "rau " in work or "err" in work:
         work = take("name", (TITLED,), work)
+    low = work.lower()
+    if any(x in low for x in PLACED_SIGNS):
+        work = take("name", NAMES_PLACED, work)
     if not work.isascii() and CJK_SIGN.search(work):
         work = take("name", NAMES_CJK, work)
     if at is not None:
