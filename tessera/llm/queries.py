@@ -80,8 +80,8 @@ def _ledger_of_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, _ledg
         "p4-keys",
     )
     ledger = _ledger.Ledger(spark)
-    for flag in (False, True):
-        ledger.update(keyed.filter(F.col("late") == flag))
+    for flag, name in ((False, "on time"), (True, "late")):
+        ledger.update(keyed.filter(F.col("late") == flag), name)
     return keyed.select("id", "k1", "k2"), ledger
 
 
