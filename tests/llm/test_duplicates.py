@@ -91,7 +91,7 @@ def test_ledger(spark):
     rows = [(i + 1, t, "x") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id long, text string, k1 string")  # a clashing extra column
     keyed = ledger.keys(df)
-    book = ledger.Ledger(spark, buckets=4)
+    book = ledger.Ledger(spark, bucket_rows=1)
     for part in (keyed.filter("id > 5"), keyed.filter("id <= 5"), keyed.limit(0)):
         book.update(part)
     found = {(r.node_id, r.copy_id) for r in ledger.copies(keyed, book).collect()}
@@ -103,6 +103,36 @@ def test_ledger(spark):
     assert ledger.copies(keyed.limit(0), ledger.Ledger(spark)).count() == 0
 
 
+def test_ledger_batches(spark, monkeypatch):
+    """Many small batches: deltas, merges and splits; a batch delivered twice; a batch lost before its commit."""
+    rng = random.Random(4)
+    rows = [(i, rng.randint(1, 12), 7) for i in range(60)]
+    rng.shuffle(rows)
+    keyed = spark.createDataFrame(rows, "id long, k1 long, k2 long")
+    book = ledger.Ledger(spark, bucket_rows=5)
+    want: dict = {}
+    for n in range(3):
+        part = rows[n * 20 : n * 20 + 20]
+        df = spark.createDataFrame(part, "id long, k1 long, k2 long")
+        with monkeypatch.context() as m:
+            m.setattr(ledger.Manifest, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                book.update(df, f"b{n}")
+        assert {r.k1: (r.n, r.first_id) for r in book.read().collect()} == want
+        book.update(df, f"b{n}")
+        book.update(df, f"b{n}")
+        for i, k, _ in part:
+            c, first = want.get(k, (0, i))
+            want[k] = (c + 1, min(first, i))
+        assert {r.k1: (r.n, r.first_id) for r in ledger.Ledger(spark, book.path).read().collect()} == want
+    assert len({r.node_id for r in ledger.copies(keyed, book).collect()}) == sum(c > 1 for c, _ in want.values())
+    other = ledger.Ledger(spark, book.path)
+    number, state = other.manifest.read()
+    other.manifest.commit(number, state)
+    with pytest.raises(RuntimeError):
+        book.manifest.commit(number, state)  # another writer was first
+
+
 def test_hot_group(spark):
     df = spark.range(1, 3001).select("id", F.when(F.col("id") % 3 == 0, "The same note.").otherwise(F.concat(F.lit("note "), F.col("id"))).alias("text"))
     keyed = ledger.keys(df)

@@ -21,7 +21,7 @@ def test_duplicates(spark):
     book.update(keyed)
     assert ledger.copies(keyed, book).count() == 0
     batch = spark.createDataFrame([("a", LONG), ("b", None), (None, "a text without an id")], "batch_id string, text string")
-    assert [r.node_id for r in history.History.build(df).match(batch, df).filter("batch_id = 'a'").collect()] == [1]
+    assert [r.node_id for r in history.History.build(df).match(batch).filter("batch_id = 'a'").collect()] == [1]
 
 
 def test_texts(spark):
