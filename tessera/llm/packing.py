@@ -8,7 +8,8 @@ exceeds the capacity: into full pieces, each a container of its own, and a last
 Scale: documents are tokenized once and numbered within their task and length; all that reaches the driver is the
 histogram (one number for each length up to the capacity), and all that is broadcast is the plan, a few intervals of
 numbers for each length. A document's number among those of its length is its task's offset and its own, so that no
-task ever gathers the documents of a common length.
+task ever gathers the documents of a common length. The offsets, a row for each length in each task, grow with the number
+of tasks and are joined by a shuffle, never broadcast.
 
 Defined results: a null or empty document has 0 tokens, takes one place and counts as one token in packing; repeated
 documents are packed as often as they occur; an empty table gives no containers. max_items null means no limit.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import checked, materialise
+from tessera.runtime import materialise
 
 #: The default rank file; its folder is a parameter of `pack`.
 TOKENIZERS = "/opt/tokenizers"
@@ -229,7 +230,8 @@ def pack(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS) -> Da
     all but the last of a split document are capacity_tokens long.
     """
     spark = documents.sparkSession
-    wanted = checked(specs.select("spec", "capacity_tokens", "max_items").filter("capacity_tokens > 0").distinct(), 64, "container sizes").orderBy("spec").collect()
+    sizes = specs.select("spec", "capacity_tokens", "max_items").filter("capacity_tokens > 0").distinct()
+    wanted = sizes.orderBy("spec", "capacity_tokens", "max_items").collect()  # a stated set
     if not wanted:
         return spark.createDataFrame([], "spec string, doc_id long, piece int, tokens long, container_id long")
     capacities = [r.capacity_tokens for r in wanted]
@@ -243,10 +245,11 @@ def pack(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS) -> Da
     for histogram, r in zip(histograms, wanted):
         places.append(Places.of(plan(histogram, r.capacity_tokens, r.max_items)))
     before = F.sum("n").over(Window.partitionBy("spec_no", "rest").orderBy("part")) - F.col("n")
-    offsets = counts.withColumn("before", before).drop("n")
-    fulls = sized.groupBy("spec_no", "part").agg(F.sum("full").alias("n"))
-    fulls = fulls.withColumn("before_full", F.sum("n").over(Window.partitionBy("spec_no").orderBy("part")) - F.col("n")).drop("n")
-    numbered = sized.join(offsets, ["spec_no", "rest", "part"]).join(fulls, ["spec_no", "part"])
+    fulls = sized.groupBy("spec_no", "part").agg(F.sum("full").alias("n_full"))
+    before_full = F.sum("n_full").over(Window.partitionBy("spec_no").orderBy("part")) - F.col("n_full")
+    fulls = fulls.withColumn("before_full", before_full).drop("n_full")
+    offsets = counts.withColumn("before", before).drop("n").join(fulls.hint("merge"), ["spec_no", "part"])
+    numbered = sized.join(offsets.hint("merge"), ["spec_no", "rest", "part"])
     numbered = numbered.withColumns({"number": F.col("nth") + F.col("before"), "number_full": F.col("nth_full") + F.col("before_full")})
     shared = spark.sparkContext.broadcast((places, capacities))
     columns = ["spec_no", "doc_id", "tokens", "full", "rest", "number", "number_full"]
