@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +19,57 @@ BITS = 63
 PERMUTATIONS, BANDS, ROWS = 128, 32, 4
 
 
+#: Rows hashed at once; a signature needs half a kilobyte for each token of them.
+HASHED_ROWS = 1_000
+
+
+class _Digests:
+    """Low 64 bits of the md5 of tokens, each computed once in a task."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def of(self, flat: pa.Array) -> np.ndarray:
+        if len(self.known) > 400_000:
+            self.known.clear()
+        coded = flat.dictionary_encode()
+        own = np.empty(len(coded.dictionary), np.uint64)
+        for i, token in enumerate(coded.dictionary.to_pylist()):
+            h = self.known.get(token)
+            if h is None:
+                h = self.known[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[8:], "big")
+            own[i] = h
+        return own[np.asarray(coded.indices)]
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Keys, all tokens and the number of tokens of each row, of the second column, in parts of HASHED_ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HASHED_ROWS):
+            part = batch.slice(at, HASHED_ROWS)
+            lists = part.column(1)
+            yield part.column(0), lists.flatten(), np.asarray(pc.list_value_length(lists).fill_null(0))
+
+
+def _simhashes(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    digests = _Digests()
+    for keys, flat, n in _each(batches):
+        out, some = np.zeros(len(n), np.int64), n > 0
+        if some.any():
+            bits = np.unpackbits(digests.of(flat).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)[:, :BITS]
+            out[some] = ((2 * ones > n[some, None]) * (np.int64(1) << np.arange(BITS))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([keys, pa.array(out)], names=names)
+
+
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, simhash): the sign of the votes of all tokens, repeats included, in each of 63 bits of their md5; 0 without tokens.
 
-    Votes are summed after a map-side combine on (key, token), so that a long text costs one row for each distinct token.
+    A function of the row alone: no shuffle. Tokens are native arrays, hashed by Arrow batches.
     """
-    counted = df.select(key, F.explode_outer(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    digest = F.md5("token")
-    low, high = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (25, 17))
-    halves = counted.select(key, F.when(F.col("token").isNotNull(), F.col("tf")).otherwise(0).alias("tf"), low.alias("low"), high.alias("high"))
-
-    def vote(i: int) -> Column:
-        bit = F.shiftright("low" if i < 32 else "high", i % 32).bitwiseAND(1)
-        return F.sum(F.col("tf") * (2 * bit - 1)).alias(f"b{i}")
-
-    votes = halves.groupBy(key).agg(*[vote(i) for i in range(BITS)])
-    out = F.lit(0).cast("long")
-    for i in range(BITS):
-        out = out + F.when(F.col(f"b{i}") > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return votes.select(key, out.alias("simhash"))
+    names = [key, "simhash"]
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, tokens(F.col(text)).alias("_tokens")).mapInArrow(lambda it: _simhashes(it, names), f"`{key}` {kind}, simhash long")
 
 
 def simhash_of(text: str) -> int:
@@ -77,12 +113,31 @@ P = (1 << 31) - 1
 SEEDS = [(pow(48_271, 2 * i + 1, P), pow(16_807, 2 * i + 2, P)) for i in range(PERMUTATIONS)]
 
 
+def _signed(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    digests = _Digests()
+    a, b = (np.array(x, np.int64) for x in zip(*SEEDS))
+    for keys, flat, n in _each(batches):
+        some = n > 0
+        if not some.any():
+            continue
+        h = (digests.of(flat) & np.uint64((1 << 28) - 1)).astype(np.int64)
+        start = (np.cumsum(n) - n)[some]
+        least = np.empty((int(some.sum()), PERMUTATIONS), np.int64)
+        for i in range(PERMUTATIONS):
+            least[:, i] = np.minimum.reduceat((h * a[i] + b[i]) % P, start)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, least.size + 1, PERMUTATIONS, dtype=np.int32)), pa.array(least.ravel()))
+        yield pa.RecordBatch.from_arrays([keys.filter(pa.array(some)), lists], names=names)
+
+
 def signatures(sets: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(key, signature): minhash of the bounded tokens under PERMUTATIONS fixed hash functions; no row without tokens."""
-    rows = sets.select(key, F.explode(F.array_distinct(bounded_tokens(F.col(tokens)))).alias("token"))
-    hashed = rows.select(key, F.conv(F.substring(F.md5("token"), 26, 7), 16, 10).cast("long").alias("h"))
-    least = [F.min((F.col("h") * a + b) % P).alias(f"m{i}") for i, (a, b) in enumerate(SEEDS)]
-    return hashed.groupBy(key).agg(*least).select(key, F.array(*[f"m{i}" for i in range(PERMUTATIONS)]).alias("signature"))
+    """(key, signature): minhash of the bounded tokens under PERMUTATIONS fixed hash functions; no row without tokens.
+
+    A function of the row alone: no shuffle.
+    """
+    names = [key, "signature"]
+    kind = sets.schema[key].dataType.simpleString()
+    bounded = sets.select(key, F.array_distinct(bounded_tokens(F.col(tokens))).alias("_tokens"))
+    return bounded.mapInArrow(lambda it: _signed(it, names), f"`{key}` {kind}, signature array<bigint>")
 
 
 def bands(signature: Column) -> Column:

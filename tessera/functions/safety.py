@@ -75,11 +75,13 @@ def wrapped(c: Column) -> Column:
 def intent(c: Column) -> Column:
     """The first intent with a word in the text; `learn` therefore hides `auto_learn`, as documented."""
     s, out = stripped(c), None
-    for name, words in INTENTS:
+    for name, first, anywhere in INTENTS:
         hit = F.lit(False)
-        for w in words.split():
+        for w in first:
+            hit = hit | s.startswith(w)
+        for w in anywhere:
             # Only the words of this intent are compared in lower case.
-            hit = hit | (s.startswith(w[1:]) if w[0] == "^" else (F.lower(s) if name == "pagerank" else s).contains(w))
+            hit = hit | (F.lower(s) if name == "pagerank" else s).contains(w)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(DEFAULT_INTENT)
 

@@ -2,53 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from functools import cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import CATEGORY_MERGE, CATEGORY_RULES, GENERAL, PARA_OF_CATEGORY, TO_CATEGORISE, WEAK_CATEGORIES
 from tessera.functions.text import maintenance_keywords
 
-BUILT_IN = [(c, w) for c, words in CATEGORY_RULES.items() for w in dict.fromkeys(words.split())]
+BUILT_IN = [(c, w) for c, words in CATEGORY_RULES for w in words]
+RULES = "category string, keyword string, source string"
+
+
+def seeded(spark: SparkSession) -> DataFrame:
+    """The table of the seeded rules (category, keyword, source)."""
+    return spark.createDataFrame([(c, w, "seed") for c, w in BUILT_IN], RULES)
+
+
+def listed(rules: DataFrame) -> list[tuple[str, str]]:
+    """The (category, keyword) rules of a rule table, which people write and which is therefore small."""
+    wanted = rules.filter("category is not null and keyword <> ''").select("category", F.lower("keyword").alias("keyword")).distinct()
+    return [(r.category, r.keyword) for r in wanted.orderBy("category", "keyword").collect()]
+
+
+@cache
+def _automaton(words: tuple[str, ...]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        found.add_word(w, i)
+    found.make_automaton()
+    return found
+
+
+def _best(texts: Iterable[str | None], rules: tuple[tuple[str, str], ...], weighted: bool) -> list[str | None]:
+    words = tuple(dict.fromkeys(w for _, w in rules if w))
+    number = {w: i for i, w in enumerate(words)}
+    of: list[list[str]] = [[] for _ in words]
+    for category, word in rules:
+        if word:
+            of[number[word]].append(category)
+    points = [2 if weighted and len(w) >= 3 else 1 for w in words]
+    if not words:
+        return [None for _ in texts]
+    automaton, out = _automaton(words), []
+    for text in texts:
+        score: dict[str, int] = {}
+        for i in {i for _, i in automaton.iter(text)} if text else ():
+            for category in of[i]:
+                score[category] = score.get(category, 0) + points[i]
+        out.append(min(score, key=lambda c: (-score[c], c)) if score else None)
+    return out
 
 
 def best_category(hay: Column, rules: list[tuple[str, str]] = BUILT_IN, weighted: bool = True) -> Column:
     """The category whose words occur in the lower-case text with the most points, or null.
 
-    weighted: a word of three characters or more counts two; ties go to the alphabetically first category. Else each
-    counts one, and ties go to the category whose rules come first. One native expression, without a join.
+    weighted: a word of three characters or more counts two, else each counts one. Ties go to the alphabetically first
+    category. Each text is read once, whatever the number of rules, by an automaton of all words over Arrow batches; as native
+    tests, one for each of some 200 words, the same took four times as long.
     """
-    by: dict[str, list[str]] = {}
-    for category, word in rules:
-        by.setdefault(category, []).append(word)
-    names = sorted(by) if weighted else list(by)
-    scores = []
-    for i, name in enumerate(names):
-        total = F.lit(0)
-        for w in by[name]:
-            total = total + F.when(hay.contains(w), 2 if weighted and len(w) >= 3 else 1).otherwise(0)
-        scores.append(F.struct(total.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("category")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, best["category"])
+    given = tuple((c, w) for c, w in rules)
 
+    @F.pandas_udf("string")
+    def best(texts: pd.Series) -> pd.Series:
+        return pd.Series(_best(texts, given, weighted), dtype=object)
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once and named in a lambda, so that the plan doesn't repeat its expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return best(hay)
 
 
 def classify(text: Column, tags: Column, source: Column, rules: list[tuple[str, str]] = BUILT_IN) -> Column:
     hay = F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(F.array_join(tags, " "), F.lit(""))))
     rss = F.lower(F.coalesce(source, F.lit(""))).contains("rss")
 
-    def chosen(h: Column) -> Column:
-        fallback = F.when(rss, "实时热点").when(h.contains("http") | h.contains("www."), "资源").otherwise(TO_CATEGORISE)
-        return F.coalesce(best_category(h, rules), fallback)
-
-    return let(hay, chosen)
+    fallback = F.when(rss, "实时热点").when(hay.contains("http") | hay.contains("www."), "资源").otherwise(TO_CATEGORISE)
+    return F.coalesce(best_category(hay, rules), fallback)
 
 
 def classify_simply(text: Column, rules: list[tuple[str, str]] = BUILT_IN) -> Column:
-    return let(F.lower(text), lambda h: F.coalesce(best_category(h, rules, weighted=False), F.lit(TO_CATEGORISE)))
+    return F.coalesce(best_category(F.lower(text), rules, weighted=False), F.lit(TO_CATEGORISE))
 
 
 def _lookup(c: Column, table: dict[str, str], default: Column) -> Column:
@@ -64,7 +99,7 @@ def normalised(c: Column) -> Column:
 
 
 def para_of(c: Column) -> Column:
-    return _lookup(c, {name: p for p, names in PARA_OF_CATEGORY.items() for name in names.split()}, F.lit("R"))
+    return _lookup(c, PARA_OF_CATEGORY, F.lit("R"))
 
 
 def weak(c: Column) -> Column:
@@ -79,6 +114,11 @@ def reclassified(nodes: DataFrame, only_weak: bool = True, rules: list[tuple[str
     return new.select("id", F.col("category").alias("old"), category.alias("category"), F.coalesce(F.when(F.col("para") != "", F.col("para")), para_of(category)).alias("para"))
 
 
+def classified(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, category) of every row by the rules of a table (category, keyword, source)."""
+    return nodes.select("id", classify(F.col("text"), F.col("tags"), F.col("source"), listed(rules)).alias("category"))
+
+
 def learned_rules(nodes: DataFrame, k: int = 5) -> DataFrame:
     """(category, keyword, source): keywords of notes that were waiting for a category and got one."""
     got = reclassified(nodes).filter((F.col("old") == TO_CATEGORISE) & (F.col("category") != TO_CATEGORISE))

@@ -89,6 +89,44 @@ def with_edge(edges: DataFrame, nodes: DataFrame, new: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "type", "weight").unionByName(fresh.select("src", "dst", "type", "weight"))
 
 
+def without_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those of (src, dst, type); a missing end or type is a value like any other."""
+    g = gone.select("src", "dst", "type").distinct().toDF("gs", "gd", "gt")
+    same = F.col("src").eqNullSafe(F.col("gs")) & F.col("dst").eqNullSafe(F.col("gd")) & F.col("type").eqNullSafe(F.col("gt"))
+    return edges.join(g, same, "left_anti")
+
+
+def queued(new: DataFrame) -> DataFrame:
+    """Notes of (origin, content, ...) as they enter the queue: trimmed, none blank, with an id of eight hex digits of where they come from and what they say."""
+    rows = new.withColumn("content", T.stripped(F.col("content"))).filter("content <> ''")
+    return rows.withColumn("id", F.substring(F.sha2(F.concat_ws("\x1f", "origin", "content"), 256), 1, 8)).drop("origin")
+
+
+def without_pending(pending: DataFrame, gone: DataFrame) -> DataFrame:
+    """The queue without the notes of (id)."""
+    return pending.join(gone.select("id"), "id", "left_anti")
+
+
+def confirm_pending(pending: DataFrame, which: Column) -> tuple[DataFrame, DataFrame]:
+    """The notes of the queue where `which` holds as they enter the store (see promoted), and the queue without them. Blank notes stay."""
+    done = promoted(pending.filter(which))
+    return done, without_pending(pending, done)
+
+
+def history(log: DataFrame, most: int = 20) -> DataFrame:
+    """The newest `most` entries of each node, numbered by nth from the newest. Each entry counts once."""
+    newest = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("timestamp"), F.desc("id")))
+    return log_entries(log).filter("node_id is not null").withColumn("nth", newest).filter(F.col("nth") <= most)
+
+
+def with_simhash(nodes: DataFrame) -> DataFrame:
+    """Nodes whose simhash was never computed get it; only their texts are hashed."""
+    missing = nodes.filter(F.coalesce("simhash", F.lit(0)) == 0)
+    known = nodes.filter(F.coalesce("simhash", F.lit(0)) != 0)
+    hashed = hashing.simhash(missing, "id", "text").filter("id is not null").dropDuplicates(["id"])
+    return known.unionByName(missing.drop("simhash").join(hashed, "id", "left").select(*nodes.columns))
+
+
 def promoted(pending: DataFrame) -> DataFrame:
     """(id, text, category, source_url, content_hash): confirmed notes as they enter the store."""
     url = F.coalesce("source_url", F.lit(""))

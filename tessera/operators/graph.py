@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,20 +100,19 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     return ranks.select("id", F.round("pr", 6).alias("pr"))
 
 
-def causal_chain(edges: DataFrame, seed: DataFrame, rounds: int = 200) -> DataFrame:
+def causal_chain(edges: DataFrame, seed: DataFrame) -> DataFrame:
     """(id, depth): what is reached from the seed (one row of id) over `cause` edges in both directions, and in how many steps.
 
     One join and anti-join a round, until nothing new is reached; the front is written each round, never collected.
     """
     links = materialise(both_ways(edges).filter("type = 'cause'").select("src", "dst").distinct(), "causes")
     seen = front = materialise(seed.select("id", F.lit(0).alias("depth")), "front")
-    for depth in range(1, rounds):
+    for depth in count(1):
         new = front.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         front = materialise(new.withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             return seen
         seen = materialise(seen.unionByName(front), "seen")
-    raise RuntimeError("the chain did not end")
 
 
 def keyword_sets(nodes: DataFrame, k: int = 12) -> DataFrame:
@@ -147,6 +148,28 @@ def related_pairs(nodes: DataFrame, least: float = 0.46, bonus: float = 0.18, k:
     return full.select("a", "b", F.round(score, 9).alias("score")).filter(F.col("score") >= least)
 
 
+def neighbours(edges: DataFrame, seeds: DataFrame, k: int = 3) -> DataFrame:
+    """(id, neighbour, weight): the k neighbours of each seed (id) over the heaviest edges in either direction; ties go to the smaller id."""
+    near = both_ways(edges).join(seeds, F.col("src") == F.col("id")).filter("dst <> id").groupBy("id", F.col("dst").alias("neighbour")).agg(F.max("weight").alias("weight"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "neighbour"))
+    return near.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+
+
+def auto_links(nodes: DataFrame, new: DataFrame, key: str, least: float = 0.35, k: int = 5, newest: int = 50) -> DataFrame:
+    """(key, node_id, weight): for each new note (key, text, workspace, category) the k most similar of the newest nodes of its
+    workspace and category, by token sets.
+
+    Only `newest` rows of each group are met, so that the pairs grow with the new notes alone.
+    """
+    last = F.row_number().over(Window.partitionBy("workspace", "category").orderBy(F.desc("id")))
+    window = nodes.filter("workspace is not null and category is not null").select("id", "workspace", "category", "text").withColumn("r", last).filter(F.col("r") <= newest)
+    old = window.select(F.col("id").alias("node_id"), "workspace", "category", F.array_distinct(T.tokens(F.col("text"))).alias("old"))
+    mine = new.select(key, "workspace", "category", F.array_distinct(T.tokens(F.col("text"))).alias("new")).filter(F.size("new") > 0)
+    met = mine.join(old.filter(F.size("old") > 0), ["workspace", "category"]).withColumn("s", T.jaccard(F.col("new"), F.col("old"))).filter(F.col("s") >= least)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("s", 6)), "node_id"))
+    return met.withColumn("nth", nth).filter(F.col("nth") <= k).select(key, "node_id", F.round("s", 6).alias("weight"))
+
+
 def linked(pairs: DataFrame, known: DataFrame, k: int = 2) -> DataFrame:
     """(src, dst, weight): for each node its k best pairs that are no edges yet, in both directions, the larger score counting."""
     sides = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "score").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "score"))

@@ -15,11 +15,12 @@ def classes(df: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]
 
     A set's identity is its sorted tokens' 64-bit hash pair, so that the shuffle carries no tokens for the membership.
     """
-    named = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(tokens)).alias("tokens")).filter(F.size("tokens") > 0)
-    hashed = named.withColumns({f"h{i}": F.xxhash64(F.lit(i), "tokens") for i in (1, 2)})
+    named = df.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(tokens)).alias("tokens")).filter(F.size("tokens") > 0)
+    # Written, as the tokens are read twice and cost more than the rest.
+    hashed = materialise(named.withColumns({f"h{i}": F.xxhash64(F.lit(i), "tokens") for i in (1, 2)}), "token-sets")
     first = hashed.groupBy("h1", "h2").agg(F.min("key").alias("class_id"))
     members = hashed.select("key", "h1", "h2").join(first, ["h1", "h2"]).select("key", "class_id")
-    reps = named.join(first.select(F.col("class_id").alias("key")), "key", "left_semi").select(F.col("key").alias("class_id"), "tokens")
+    reps = hashed.select("key", "tokens").join(first.select(F.col("class_id").alias("key")), "key", "left_semi").select(F.col("key").alias("class_id"), "tokens")
     return reps, members
 
 
@@ -38,6 +39,12 @@ def sketched(sets: DataFrame) -> DataFrame:
     return hashed.select("*", *[parity(i).alias(f"s{i}") for i in range(SKETCH_WORDS)])
 
 
+def fitting(na: str, nb: str, a: str, b: str, threshold: float) -> Column:
+    """What holds of all sets that are similar: sizes within the ratio, and few differing bits in the sketch words {a}s0.., {b}s0.. ."""
+    differing = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    return (differing * (1 + threshold) <= (F.col(na) + F.col(nb)) * (1 - threshold) + 1e-6) & (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9)
+
+
 def prefixes(sketches: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
     """(class_id, n, s0..s3, token): the rarest tokens of each set, of which two similar sets must share one."""
     each = sketches.select("class_id", "n", *[f"s{i}" for i in range(SKETCH_WORDS)], F.explode("hashes").alias("token")).join(frequency, "token")
@@ -63,8 +70,7 @@ def join(left: DataFrame, right: DataFrame, threshold: float, same: bool = False
     words = [f"s{i}" for i in range(SKETCH_WORDS)]
     a = a.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "token", *[F.col(w).alias(f"a{w}") for w in words])
     b = b.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "token", *[F.col(w).alias(f"b{w}") for w in words])
-    differing = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words), F.lit(0))
-    fits = (differing * (1 + threshold) <= (F.col("na") + F.col("nb")) * (1 - threshold) + 1e-6) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    fits = fitting("na", "nb", "a", "b", threshold)
     met = a.join(b, "token").filter(fits & (F.col("a") < F.col("b")) if same else fits)
     pairs = met.select("a", "b").distinct()
     full = pairs.join(left.toDF("a", "ta"), "a").join(right.toDF("b", "tb"), "b")
@@ -87,6 +93,11 @@ def lsh_join(left: DataFrame, right: DataFrame, threshold: float, same: bool = F
     b = banded(right).toDF("b", "band", "h")
     met = a.join(b, ["band", "h"])
     pairs = (met.filter("a < b") if same else met).select("a", "b").distinct()
+    # What the parity of the tokens or the sizes rule out, most of the pairs, never fetches its tokens.
+    words = [f"s{i}" for i in range(SKETCH_WORDS)]
+    side = lambda sets, x: sketched(sets).select(F.col("class_id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(w).alias(f"{x}{w}") for w in words])
+    fits = fitting("na", "nb", "a", "b", threshold)
+    pairs = materialise(pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").filter(fits).select("a", "b"), "fitting")
     full = pairs.join(left.toDF("a", "ta"), "a").join(right.toDF("b", "tb"), "b")
     return full.withColumn("similarity", T.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= threshold).drop("ta", "tb")
 

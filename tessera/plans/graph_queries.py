@@ -221,8 +221,7 @@ def conflicts_all(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def category_sql(hay: str, weighted: bool) -> str:
     rules = [(c, w, 2 if weighted and len(w) >= 3 else 1) for c, w in classify.BUILT_IN]
-    names = list(dict.fromkeys(c for c, _, _ in rules))
-    order = sorted(names) if weighted else names
+    order = sorted({c for c, _, _ in rules})
     scores = ", ".join(
         "{'score': " + " + ".join(f"CASE WHEN contains({hay}, '{w}') THEN {p} ELSE 0 END" for c, w, p in rules if c == name) + f", 'o': {-i}, 'c': '{name}'" + "}" for i, name in enumerate(order)
     )
@@ -241,7 +240,7 @@ def _map_sql(c: str, table: dict[str, str], default: str) -> str:
 
 
 MERGED = _map_sql("new", X.CATEGORY_MERGE, "new")
-PARA = {n: p for p, names in X.PARA_OF_CATEGORY.items() for n in names.split()}
+PARA = X.PARA_OF_CATEGORY
 WEAK = f"(category IS NULL OR category IN ({quoted(X.WEAK_CATEGORIES)}))"
 
 

@@ -272,9 +272,9 @@ def wrap_untrusted(pending: DataFrame) -> DataFrame:
 
 def _intent_sql() -> str:
     cases = ""
-    for name, words in X.INTENTS:
+    for name, first, anywhere in X.INTENTS:
         c = "lower(s)" if name == "pagerank" else "s"
-        tests = " OR ".join(f"starts_with(s, '{w[1:]}')" if w[0] == "^" else f"contains({c}, '{w}')" for w in words.split())
+        tests = " OR ".join([f"starts_with(s, '{w}')" for w in first] + [f"contains({c}, '{w}')" for w in anywhere])
         cases += f" WHEN {tests} THEN '{name}'"
     return f"CASE{cases} ELSE '{X.DEFAULT_INTENT}' END"
 

@@ -90,14 +90,27 @@ def write_lines(lines: DataFrame, path: str, *order: str) -> None:
 
 
 def write_pages(pages: DataFrame, root: str) -> None:
-    """A vault: one Markdown file a page, written by the executors to a folder that they share."""
+    """A vault: one Markdown file a page, written by the executors to a file system that they share.
+
+    root is a URI of any file system that Arrow knows (hdfs, s3, gs, file). A path of the machine itself is taken only from a
+    session on one machine, or where the folder is the shared one that spark.checkpoint.dir names.
+    """
+    spark = pages.sparkSession
+    local = root.startswith(("/", "file:"))
+    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
+    if local and not spark.sparkContext.master.startswith("local[") and not (base and root.removeprefix("file://").startswith(base)):
+        raise ValueError(f"{root} is a folder of each machine's own")
 
     def write(rows) -> None:
-        import os
+        from pyarrow import fs
 
+        system, path = fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        made = set()
         for r in rows:
-            os.makedirs(os.path.join(root, r.folder), exist_ok=True)
-            with open(os.path.join(root, r.folder, r.filename), "w", encoding="utf-8") as f:
-                f.write(r.content)
+            if r.folder not in made:
+                system.create_dir(f"{path}/{r.folder}", recursive=True)
+                made.add(r.folder)
+            with system.open_output_stream(f"{path}/{r.folder}/{r.filename}") as f:
+                f.write(r.content.encode())
 
     pages.foreachPartition(write)
