@@ -13,6 +13,7 @@ from tessera.llm import packing as _packing
 from tessera.llm import pii as _pii
 from tessera.llm import residue as _residue
 from tessera.llm import subjects as _subjects
+from tessera.llm.oracle import ORACLE_SQL  # noqa: F401  (the entry point reads it from here)
 from tessera.runtime import load, materialise
 
 
