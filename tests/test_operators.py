@@ -174,3 +174,39 @@ def test_streamed_ingest(spark, tmp_path):
     ingest.ingest(stream(), store, str(tmp_path / "cp")).awaitTermination()
     got = [(r.id, r.text) for r in spark.read.parquet(store).orderBy("id").collect()]
     assert got == [(1, "alpha beta gamma delta"), (2, "one two three four")]
+
+
+def test_rules_as_a_table(spark):
+    n = node(spark, (1, "Python 代码 api", {}), (2, "集群 集群", {}), (3, "", {}), (4, None, {}), (5, "http://x", {}), (6, "猫 api", {"tags": ["会议"]}), (7, "教程", {"tags": ["会议"]}))
+    rules = classify.with_rules(classify.seeded(spark), "技术", "集群，python, 集群 ")
+    assert rules.count() == classify.seeded(spark).count() + 1
+    got = {r.id: r.category for r in classify.classified(n, rules).collect()}
+    assert got == {1: "技术", 2: "技术", 3: "_待分类_", 4: "_待分类_", 5: "资源", 6: "技术", 7: "会议"}  # three letters count two; ties go to the first name
+    assert {r.category for r in classify.classified(n, rules.limit(0)).collect()} == {"_待分类_", "资源"}
+
+
+def test_queue_edges_and_history(spark):
+    e = edges(spark, (1, 2, "related", 1.0), (1, 2, "related", None), (1, None, None, 1.0), (1, 2, "cause", 1.0))
+    gone = edges(spark, (1, 2, "related", 0.0), (1, None, None, 0.0), (9, 9, "cause", 0.0))
+    assert [(r.src, r.dst, r.type) for r in governance.without_edges(e, gone).collect()] == [(1, 2, "cause")]
+    assert governance.without_edges(e, gone.limit(0)).count() == 4
+    new = spark.createDataFrame([("a", " text "), ("b", " "), ("c", None), ("d", "text")], "origin string, content string")
+    rows = governance.queued(new).collect()
+    assert [r.content for r in rows] == ["text", "text"] and len({r.id for r in rows}) == 2 and all(len(r.id) == 8 for r in rows)
+    log = spark.createDataFrame([(i, 1, "Update", "o", "n", f"2024-01-{i:02d}") for i in range(1, 30)] + [(29, 1, "Update", "o", "n", "2024-01-29"), (40, None, "x", "", "", None)], "id long, node_id long, action string, old_text string, new_text string, timestamp string")
+    assert [(r.nth, r.id) for r in governance.history(log, 3).orderBy("nth").collect()] == [(1, 29), (2, 28), (3, 27)]
+    pending = spark.createDataFrame([("p", "x", "c", "", "", ""), ("q", " ", "c", "", "", ""), ("r", "y", "c", "", "", "")], "id string, content string, category string, source string, source_url string, content_hash string")
+    done, waiting = governance.confirm_pending(pending, F.col("id") != "r")
+    assert [r.id for r in done.collect()] == ["p"] and {r.id for r in waiting.collect()} == {"q", "r"}
+    n = node(spark, (1, "abc", {}), (2, "abc", {"simhash": 7}), (3, "", {}), (None, "abc", {}))
+    assert {(r.id, r.simhash) for r in governance.with_simhash(n).collect()} >= {(1, 6239244140557729650), (2, 7), (3, 0)} and governance.with_simhash(n).count() == 4
+
+
+def test_neighbours_and_links(spark):
+    e = edges(spark, (1, 2, "related", 0.5), (3, 1, "cause", 0.9), (1, 4, "related", 0.5), (1, 1, "related", 1.0))
+    got = graph.neighbours(e, spark.createDataFrame([(1,), (8,)], "id long"), 2).collect()
+    assert {(r.id, r.neighbour) for r in got} == {(1, 3), (1, 2)}
+    n = node(spark, (1, "a b c d", {}), (2, "a b c x", {}), (3, "a b c d", {"category": "other"}), (4, None, {}), (5, "z", {}))
+    new = spark.createDataFrame([("p", "a b c d", "global", "c"), ("q", "", "global", "c"), ("r", "a", None, None)], "pending_id string, text string, workspace string, category string")
+    assert [(r.pending_id, r.node_id, r.weight) for r in graph.auto_links(n, new, "pending_id").orderBy("node_id").collect()] == [("p", 1, 1.0), ("p", 2, 0.6)]
+    assert graph.auto_links(n.limit(0), new, "pending_id").count() == 0
