@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing
 from tessera.functions import text as T
 from tessera.functions.fixed import ERROR_WORDS
-from tessera.runtime import checked
+from tessera.runtime import against_all
 
 STATUS_RANK = {"confirmed": 0, "active": 1, "pending": 2, "disputed": 3, "archived": 9}
 
@@ -156,8 +156,8 @@ def pre_answer(nodes: DataFrame, message: str, as_of: str, k: int = 5, least: fl
     return rows.select("id", "score", pitfall.alias("pitfall")).orderBy(F.desc("score"), "id").limit(10)
 
 
-def questions(nodes: DataFrame, batch: DataFrame, k: int = 5, least: float = 0.05) -> DataFrame:
-    """(question_id, id, score, rank): the k best nodes for each row of (question_id, question), a small stated set, which is broadcast."""
+def questions(nodes: DataFrame, batch: DataFrame, k: int = 5, least: float = 0.05, block: int = 10_000) -> DataFrame:
+    """(question_id, id, score, rank): the k best nodes for each row of (question_id, question), a stated set, which is broadcast in blocks."""
     asked = batch.select("question_id", "question", F.array_distinct(T.question_tokens(F.col("question"))).alias("q"))
     n = F.length("question")
     spans = F.flatten(
@@ -165,7 +165,7 @@ def questions(nodes: DataFrame, batch: DataFrame, k: int = 5, least: float = 0.0
     )
     asked = asked.withColumn("words", F.array_distinct(F.filter(spans, lambda w: w.rlike(T.CJK_ONLY))))
     rows = nodes.filter("status <> 'merged'").select("id", "text", "confidence", "tags").withColumn("t", F.array_distinct(T.question_tokens(F.col("text"))))
-    both = rows.crossJoin(F.broadcast(checked(asked, 10_000, "questions")))  # a stated query set
+    both = against_all(rows, asked, block)
     hits = F.aggregate("words", F.lit(0.0), lambda acc, w: acc + F.when(F.col("text").contains(w), 0.15).otherwise(0.0) + F.when(F.array_contains("tags", w), 0.1).otherwise(0.0))
     score = T.jaccard(F.col("q"), F.col("t"), 0.0) * 0.6 + F.least(hits, F.lit(0.4)) + F.coalesce("confidence", F.lit(0.5)) * 0.05
     scored = both.select("question_id", "id", "confidence", F.round(score, 6).alias("score")).filter(F.col("score") >= least)

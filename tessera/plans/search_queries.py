@@ -10,7 +10,7 @@ from tessera.functions import text as T
 from tessera.functions.hashing import simhash_of
 from tessera.operators import governance, retrieval, scoring, similarity
 from tessera.plans.base import AS_OF, CJK_WORD, PHRASE, SIMHASH_SQL, WORD, query, strip, tokens
-from tessera.runtime import checked
+from tessera.runtime import against_all
 
 TAGS = "coalesce(array_to_string(tags, ','), '')"
 TRUST = "coalesce(trust_score, confidence, 0.0)"
@@ -192,7 +192,7 @@ EVAL_HASH = "WITH t AS (SELECT item_id AS id, text FROM eval_items), " + SIMHASH
 def nearest_simhash(eval_items: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node nearest in simhash to each evaluation item, a stated query set of fixed size, within 20 bits."""
     asked = hashing.simhash(eval_items, "item_id", "text").withColumnRenamed("simhash", "h")
-    rows = nodes.filter("simhash <> 0").select("id", "simhash").crossJoin(F.broadcast(checked(asked, 100_000, "queries")))
+    rows = against_all(nodes.filter("simhash <> 0").select("id", "simhash"), asked, 100_000)
     best = rows.groupBy("item_id").agg(F.min(F.struct(hashing.hamming(F.col("h"), F.col("simhash")).alias("distance"), "id")).alias("b"))
     return best.select("item_id", "b.id", "b.distance").filter("distance <= 20")
 

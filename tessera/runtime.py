@@ -113,12 +113,17 @@ def shuffled(spark: SparkSession, rows: int, row_bytes: int) -> Iterator[None]:
 BROADCAST_ROWS = 1 << 20
 
 
-def checked(df: DataFrame, most: int, what: str) -> DataFrame:
-    """`df`, a table of stated size (queries, rules, sizes), after its rows were counted; too many are an error, none are dropped."""
-    n = df.count()
-    if n > most:
-        raise ValueError(f"{n} {what}, at most {most} can be handled at once")
-    return df
+def against_all(rows: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """Every row with every query of a stated set, of which blocks of about `most` are broadcast at a time; no query is dropped."""
+    blocks = -(-queries.count() // most)
+    if blocks <= 1:
+        return rows.crossJoin(F.broadcast(queries))
+    cut = materialise(queries.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))), "queries")
+    parts = [rows.crossJoin(F.broadcast(cut.filter(F.col("_block") == b).drop("_block"))) for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def join_sized(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None) -> DataFrame:

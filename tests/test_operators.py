@@ -210,3 +210,13 @@ def test_neighbours_and_links(spark):
     new = spark.createDataFrame([("p", "a b c d", "global", "c"), ("q", "", "global", "c"), ("r", "a", None, None)], "pending_id string, text string, workspace string, category string")
     assert [(r.pending_id, r.node_id, r.weight) for r in graph.auto_links(n, new, "pending_id").orderBy("node_id").collect()] == [("p", 1, 1.0), ("p", 2, 0.6)]
     assert graph.auto_links(n.limit(0), new, "pending_id").count() == 0
+
+
+def test_queries_in_blocks(spark):
+    from tessera.runtime import against_all
+
+    rows, queries = spark.range(20), spark.range(100, 113).toDF("q")
+    for most in (4, 100):
+        got = {(r.id, r.q) for r in against_all(rows, queries, most).collect()}
+        assert len(got) == 20 * 13 and against_all(rows, queries, most).count() == 20 * 13
+    assert against_all(rows, queries.limit(0), 4).count() == 0
