@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm import segments
 from tessera.llm.canonical import with_copy_key
 from tessera.llm.segments import Bands, Threshold
-from tessera.llm.tokens import hashed_sets
+from tessera.llm.tokens import BATCH_TOKENS, hashed_sets
 from tessera.runtime import join_sized, materialise, remove, shuffled, work_path
 
 SIMILAR = Threshold(4, 5)
@@ -56,6 +56,15 @@ def flat_tokens(batch: pa.RecordBatch, rows: np.ndarray | None = None) -> tuple[
     return flat, np.cumsum(lengths).astype(np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about BATCH_TOKENS tokens, or of one set that has more."""
+    for batch in batches:
+        lengths = np.asarray(pa.compute.list_value_length(batch.column("toks")).fill_null(0)).astype(np.int64)
+        part = np.cumsum(lengths) // BATCH_TOKENS
+        for first, end in zip(*(np.flatnonzero(x) for x in (np.diff(part, prepend=-1), np.diff(part, append=part[-1:] + 1)))):
+            yield batch.slice(first, end + 1 - first)
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(segments.SLOTS, dtype=np.int64)
     for batch in batches:
@@ -75,13 +84,13 @@ def token_counts(sets: DataFrame) -> np.ndarray:
 
 
 def size_counts(sets: DataFrame) -> dict[int, int]:
-    """How many sets there are of each size: at most MAX_SIZE numbers."""
+    """How many sets there are of each size."""
     return {r.n: r.c for r in sets.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
 
 
 def _emit(batches: Iterator[pa.RecordBatch], bands: Bands, index: bool, more: bool, ids: bool) -> Iterator[pa.RecordBatch]:
     seen: dict[int, tuple[int, int]] = {}
-    for batch in batches:
+    for batch in _parts(batches):
         s, sketch = np.asarray(batch.column("s")), np.asarray(batch.column("sketch"))
         # Of the rows of a set, the one with the smallest id; ids need not be given.
         own = np.asarray(batch.column("id")) if ids else np.zeros(len(s), np.int64)

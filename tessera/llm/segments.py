@@ -19,7 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 
 BAND_RATIO = 1.25
-MAX_SIZE = 1_500
+#: No array is longer than this: bands reach as far as any set can.
+MAX_SIZE = (1 << 31) - 1
 SLOTS = 1 << 16
 UNIT = 16  # steps a bit of information
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -76,7 +77,7 @@ def _cost(n: float, size: float, u: int, p: int, k: int, q: float) -> float:
     pmf = [math.exp(-lam)]
     for j in range(1, 40):
         pmf.append(pmf[-1] * lam / j)
-    meet = [min(1.0, math.factorial(j) * (q * m) ** j) for j in range(40)]  # the chance that j tokens of a segment are the same
+    meet = [min(1.0, math.factorial(j) * min(1.0, q * m) ** j) for j in range(40)]  # the chance that j tokens of a segment are the same
     rows = (u + 1 - 2 * p) + p * (lam + 1) if u + 1 > 2 * p else p * (lam + 1)
     pairs, skip = 0.0, (k / rest if rest else 0.0)
     for j in range(39):

@@ -282,3 +282,27 @@ def test_a_lost_append_leaves_the_index_as_it_was(spark, monkeypatch):
     for i in range(4):
         index.append(more.withColumn("id", F.col("id") + 10 * i))  # merged on the way
     assert {(r.batch_id, r.node_id) for r in history.History.open(spark, index.path).match(probe).collect()} == {("a", 3), ("b", 1)}
+
+
+def long_texts(seed: int) -> list[str]:
+    """Two texts alike in beginning, middle and end but for a fifth of their words in between, an edited copy of the first, and Chinese ones alike only in their first 1,500 characters."""
+    rng = random.Random(seed)
+    words = [f"word{rng.randrange(10**6)}" for _ in range(6_000)]
+    other, edited = words[:], words[:]
+    other[1_000:2_000] = [f"other{i}" for i in range(1_000)]
+    other[4_000:5_000] = [f"others{i}" for i in range(1_000)]
+    edited[100::600] = ["edit"] * 10
+    han = [chr(0x4E00 + i) for i in rng.sample(range(20_000), 6_000)]
+    return [*map(" ".join, (words, other, edited)), "".join(han[:4_000]), "".join(han[:1_600] + han[4_000:])]
+
+
+def test_long_texts_are_compared_whole(spark):
+    """Problem 1: a long text matches only where all of it does."""
+    texts = long_texts(3)
+    index = history.History.build(spark.createDataFrame([(1, texts[1]), (2, texts[0]), (3, texts[3])], "id long, text string"))
+    batch = spark.createDataFrame([("edited", texts[2]), ("same start", texts[4])], "batch_id string, text string")
+    assert {r.batch_id: r.node_id for r in index.match(batch).collect()} == {"edited": 2}
+    # Longer than all that the index was built of.
+    history.accept(index, spark.createDataFrame([("longer", " ".join(texts[:3]))], "batch_id string, text string"), 10)
+    longer = spark.createDataFrame([("again", " ".join(texts[:3]) + " end")], "batch_id string, text string")
+    assert [r.node_id for r in history.History.open(spark, index.path).match(longer).collect()] == [10]
