@@ -306,3 +306,12 @@ def test_long_texts_are_compared_whole(spark):
     history.accept(index, spark.createDataFrame([("longer", " ".join(texts[:3]))], "batch_id string, text string"), 10)
     longer = spark.createDataFrame([("again", " ".join(texts[:3]) + " end")], "batch_id string, text string")
     assert [r.node_id for r in history.History.open(spark, index.path).match(longer).collect()] == [10]
+
+
+def test_long_texts_are_paired_whole(spark):
+    """Problem 5: a long text's pairs are those of all its tokens."""
+    texts = long_texts(4)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = [token_set(t) for t in texts]
+    want = {(a, b) for a in range(5) for b in range(a + 1, 5) if similar(sets[a], sets[b])}
+    assert want == {(0, 2)} == {(r.id_a, r.id_b) for r in neardup.near_duplicates(df).collect()}
