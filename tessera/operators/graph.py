@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.fixed import EDGE_TYPES, GENERAL
-from tessera.runtime import materialise
+from tessera.runtime import TASK_BYTES, freed, join_sized, materialise, remove, work_path
 
 
 def tidy(edges: DataFrame) -> DataFrame:
@@ -123,29 +126,203 @@ def keyword_sets(nodes: DataFrame, k: int = 12) -> DataFrame:
     return live.select("id", category.alias("category"), words.alias("words")).filter(F.size("words") > 0)
 
 
+def ranked_sets(nodes: DataFrame, k: int = 12) -> DataFrame:
+    """(id, category, n, words) of the keyword sets of live nodes, written: words as numbers, the rarest word first."""
+    spark = nodes.sparkSession
+    path = work_path(spark, "keywords")
+    sets = materialise(keyword_sets(nodes.filter("id is not null"), k).withColumn("category", F.xxhash64("category")), "keywords", path)
+    each = sets.select("id", "category", F.explode("words").alias("word"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).repartitionByRange(parts, "df", "word").sortWithinPartitions("df", "word")
+    placed = materialise(counted.select("word", F.monotonically_increasing_id().alias("_at")), "placed")
+    # The number of a partition is in the upper bits; one row for each of them tells how many words come before.
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    number = (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("number")
+    numbers = placed.withColumn("_part", part).join(F.broadcast(before), "_part").select("word", number)
+    numbered = each.join(numbers, "word").groupBy("id", "category").agg(F.sort_array(F.collect_set("number")).alias("words"))
+    with freed(spark):
+        ranked = materialise(numbered.select("id", "category", F.size("words").cast("int").alias("n"), "words"), "ranked")
+    remove(spark, path)
+    return ranked
+
+
+MET = "src long, dst long, shared int, total int, same boolean"
+#: Pairs that are held at once while groups are compared, and the size from which a group is compared by itself.
+PAIRS, LARGE = 1_000_000, 64
+
+
+def _needed(threshold: float, total):
+    """Words that two sets of `total` words together must share; the rounding of scores is allowed for."""
+    return np.maximum(1, np.ceil(total * (threshold / (1 + threshold)) - 1e-6)).astype(np.int64)
+
+
+def _words(lists: pa.ListArray, n: np.ndarray, k: int) -> np.ndarray:
+    """A row of k numbers for each list, -1 where there are fewer."""
+    out = np.full((len(n), k), -1, np.int32)
+    out[np.arange(k)[None, :] < n[:, None]] = np.asarray(lists.flatten())
+    return out
+
+
+def _compared(keys, kind, ids, category, n, word, seeking, words, threshold: float, within: bool, k: int, half: bool):
+    """Arrays of MET for all rows of whole groups, sorted by key."""
+    slot = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+    bit = np.where(words >= 0, np.uint64(1) << (slot & np.uint64(63)), np.uint64(0))
+    low, high = (np.bitwise_xor.reduce(np.where(x, bit, np.uint64(0)), axis=1) for x in (slot < 64, slot >= 64))
+    totals = np.arange(2 * k + 1)
+    fits = totals - 2 * _needed(threshold, totals)
+    start = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1) != 0) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(keys)))
+
+    def verified(i: np.ndarray, j: np.ndarray):
+        same = category[i] == category[j]
+        keep = (ids[i] < ids[j] if half else ids[i] != ids[j]) & (same == within) & (word[i] == word[j])
+        keep &= (kind[i] == 0) | (n[i] < k - 1) | (n[j] < k - 1)  # two large sets have groups of their own
+        i, j, same = i[keep], j[keep], same[keep]
+        for at in range(0, len(i), 100_000):
+            x, y = i[at : at + 100_000], j[at : at + 100_000]
+            a, b = words[x], words[y]
+            member = np.zeros(a.shape, bool)
+            for c in range(k):
+                member |= a == b[:, c : c + 1]
+            member &= a >= 0
+            shared, total = member.sum(axis=1), n[x] + n[y]
+            first = a[np.arange(len(x)), member.argmax(axis=1)]
+            good = (shared >= _needed(threshold, total)) & (first == word[x])
+            if good.any():
+                yield ids[x][good], ids[y][good], shared[good].astype(np.int32), total[good].astype(np.int32), same[at : at + 100_000][good]
+
+    for g in np.flatnonzero(size > LARGE):
+        rows = np.arange(start[g], start[g] + size[g])
+        mine = rows[seeking[rows]]
+        step = max(1, PAIRS // len(rows))
+        for at in range(0, len(mine), step):
+            own = mine[at : at + step]
+            differing = np.bitwise_count(low[own, None] ^ low[None, rows]) + np.bitwise_count(high[own, None] ^ high[None, rows])
+            i, j = np.nonzero(differing <= fits[n[own, None] + n[None, rows]])
+            yield from verified(own[i], rows[j])
+    few = (size > 1) & (size <= LARGE)
+    mine = np.repeat(few, size) & seeking
+    first, width = np.repeat(start, size)[mine], np.repeat(size, size)[mine]
+    mine = np.flatnonzero(mine)
+    step = PAIRS // LARGE
+    for at in range(0, len(mine), step):
+        w = width[at : at + step]
+        i = np.repeat(mine[at : at + step], w)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w - first[at : at + step], w)
+        near = np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j]) <= fits[n[i] + n[j]]
+        yield from verified(i[near], j[near])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], threshold: float, within: bool, k: int, half: bool) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in MET.split(", ")]
+    rest: list[pa.RecordBatch] = []
+    waiting = 0
+
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, kind, ids, category, n, word, seeking = (table.column(c).to_numpy() for c in ("key", "kind", "id", "category", "n", "word", "seeking"))
+        words = _words(table.column("words").combine_chunks(), n, k)
+        for columns in _compared(key, kind, ids, category, n.astype(np.int64), word, seeking, words, threshold, within, k, half):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    for batch in batches:
+        rest.append(batch)
+        waiting += batch.num_rows
+        if waiting < 100_000:
+            continue
+        table = pa.Table.from_batches(rest)
+        key = table.column("key").to_numpy()
+        last = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
+        if last:
+            yield from compared(table.slice(0, last))
+            rest = table.slice(last).combine_chunks().to_batches()
+        waiting = table.num_rows - last
+    if rest:
+        yield from compared(pa.Table.from_batches(rest))
+
+
+def met_pairs(sets: DataFrame, least: float, bonus: float, k: int, half: bool = False) -> DataFrame:
+    """(src, dst, score) of the seeking rows of `sets` (a result of `ranked_sets` with `seeking`) with all others that score
+    `least` or more; exact, each pair once, or only where src < dst.
+
+    Two sets that score so share so many words that they share one of the rarest of each, by which they are grouped: once
+    within categories, where the bonus lowers the similarity that is needed and the category is part of the key, and once
+    across them. Nearly all sets have k or k - 1 words, and two of these share more than two of any size must, so they have
+    groups of their own. In a group, the parity of the words in 128 slots, in which two sets differ in no more slots than
+    words, drops most pairs; the words of the rest are compared, and a pair counts only in the group of the first word it
+    shares, so that nothing is shuffled but the sets.
+    """
+
+    def rows(df: DataFrame, threshold: float, within: bool, smallest: Column, kind: int) -> DataFrame:
+        needed = F.greatest(F.lit(1), F.ceil((F.col("n") + smallest) * (threshold / (1 + threshold)) - 1e-6).cast("int"))
+        each = df.select("*", F.explode(F.slice("words", F.lit(1), F.col("n") - needed + 1)).alias("word"))
+        return each.withColumn("kind", F.lit(kind)).withColumn("key", F.xxhash64("kind", "word", *(["category"] if within else [])))
+
+    big, small = sets.filter(F.col("n") >= k - 1), sets.filter(F.col("n") < k - 1)
+    counted = sets.count()
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted * k * 100 // (4 * TASK_BYTES)))
+    out = None
+    for threshold, within in ((max(least - bonus, 1e-9), True), (least, False)):
+        # The smallest set that one of n words can be similar to.
+        any_size = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-6).cast("int"))
+        few = rows(small, threshold, within, any_size, 1)
+        wanted = materialise(few.select("key").distinct(), "wanted")
+        grouped = rows(big, threshold, within, F.lit(k - 1), 0).unionByName(few)
+        grouped = grouped.unionByName(join_sized(rows(big, threshold, within, any_size, 1), wanted, "key", "left_semi"))
+        columns = ["key", "kind", "id", "category", "n", "word", "seeking", "words"]
+        sorted_ = grouped.select(*columns).repartition(parts, "key").sortWithinPartitions("key")
+        met = sorted_.mapInArrow(lambda it, t=threshold, w=within: _groups(it, t, w, k, half), MET)
+        out = met if out is None else out.unionByName(met)
+    score = F.round(F.col("shared") / (F.col("total") - F.col("shared")) + F.when(F.col("same"), bonus).otherwise(0.0), 9)
+    return out.select("src", "dst", score.alias("score")).filter(F.col("score") >= least)
+
+
 def related_pairs(nodes: DataFrame, least: float = 0.46, bonus: float = 0.18, k: int = 12) -> DataFrame:
-    """(a, b, score), a < b: live nodes whose keyword sets are similar, with a bonus within a category; exact.
+    """(a, b, score), a < b: live nodes whose keyword sets are similar, with a bonus within a category; exact."""
+    sets = ranked_sets(nodes, k).withColumn("seeking", F.lit(True))
+    return met_pairs(sets, least, bonus, k, half=True).withColumnsRenamed({"src": "a", "dst": "b"})
 
-    Prefix filtering on the rarest keywords, once within categories, where the bonus lowers the similarity that is needed,
-    and once across them. The category is part of the key there, so that a common word meets only its own category.
-    """
-    sets = materialise(keyword_sets(nodes, k), "keywords")
-    frequency = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    each = sets.select("id", "category", F.size("words").alias("n"), F.explode("words").alias("word")).join(frequency, "word")
-    ranked = materialise(each.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))), "ranked")
 
-    def met(threshold: float, within: bool) -> DataFrame:
-        rows = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-        a = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), "word", F.col("category").alias("ca"))
-        b = rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word", F.col("category").alias("cb"))
-        on = (a.word == b.word) & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-        on = on & ((F.col("ca") == F.col("cb")) if within else (F.col("ca") != F.col("cb")))
-        return a.join(b, on).select("a", "b")
+#: Scores at which the best pairs of nodes are sought, before the least that counts.
+LEVELS = (0.6, 0.5, 0.3)
 
-    pairs = met(max(least - bonus, 1e-9), True).unionByName(met(least, False)).distinct()
-    full = pairs.join(sets.toDF("a", "ca", "wa"), "a").join(sets.toDF("b", "cb", "wb"), "b")
-    score = T.jaccard(F.col("wa"), F.col("wb")) + F.when(F.col("ca") == F.col("cb"), bonus).otherwise(0.0)
-    return full.select("a", "b", F.round(score, 9).alias("score")).filter(F.col("score") >= least)
+
+def best_pairs(nodes: DataFrame, least: float, most: int, known: DataFrame | None = None, only: DataFrame | None = None, bonus: float = 0.18, k: int = 12) -> DataFrame:
+    """(src, dst, score): the `most` best pairs of each live node, or of those in `only` (id), that score `least` or more and are
+    not in `known` (src, dst); ties go to the larger dst. Exact.
+
+    Pairs are sought at falling scores, each time only for nodes that have too few so far: what scores less than a level
+    can't be better than what was found at it. So a node that has good pairs never meets its many weak ones.
+    """
+    sets = ranked_sets(nodes, k)
+    wanted = F.lit(True)
+    sought = sets.withColumn("seeking", wanted) if only is None else sets.join(only.select("id", wanted.alias("seeking")).distinct(), "id", "left").fillna(False, "seeking")
+    path = work_path(nodes.sparkSession, "sought")
+    sought = materialise(sought, "sought", path)
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), F.desc("dst")))
+    known = known.select("src", "dst").distinct() if known is not None else None
+    found = []
+    for level in [*(x for x in LEVELS if x > least), least]:
+        pairs = met_pairs(sought, level, bonus, k)
+        if known is not None:
+            pairs = pairs.join(known, ["src", "dst"], "left_anti")
+        with freed(nodes.sparkSession):
+            best = materialise(pairs.withColumn("r", rank).filter(F.col("r") <= most), "best")
+        if level == least:
+            found.append(best)
+            break
+        done = materialise(best.filter(F.col("r") == most).select("src"), "done")
+        found.append(best.join(done, "src", "left_semi"))
+        still = F.col("seeking") & F.col("src").isNull()
+        used, path = path, work_path(nodes.sparkSession, "sought")
+        with freed(nodes.sparkSession):
+            sought = materialise(sought.join(done, F.col("id") == F.col("src"), "left").select("id", "category", "n", "words", still.alias("seeking")), "sought", path)
+        remove(nodes.sparkSession, used)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.select("src", "dst", "score")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, k: int = 3) -> DataFrame:
@@ -170,24 +347,20 @@ def auto_links(nodes: DataFrame, new: DataFrame, key: str, least: float = 0.35,
     return met.withColumn("nth", nth).filter(F.col("nth") <= k).select(key, "node_id", F.round("s", 6).alias("weight"))
 
 
-def linked(pairs: DataFrame, known: DataFrame, k: int = 2) -> DataFrame:
-    """(src, dst, weight): for each node its k best pairs that are no edges yet, in both directions, the larger score counting."""
-    sides = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "score").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "score"))
-    new = sides.join(known.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    best = new.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), F.desc("dst")))).filter(F.col("r") <= k)
-    mirrored = best.select("src", "dst", "score").unionByName(best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
-    return mirrored.groupBy("src", "dst").agg(F.round(F.max("score"), 4).alias("weight"))
+def mirrored(best: DataFrame) -> DataFrame:
+    """(src, dst, weight): pairs in both directions, the larger score counting."""
+    both = best.select("src", "dst", "score").unionByName(best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
+    return both.groupBy("src", "dst").agg(F.round(F.max("score"), 4).alias("weight"))
+
+
+def linked(nodes: DataFrame, known: DataFrame, least: float = 0.46, k: int = 2) -> DataFrame:
+    """(src, dst, weight): for each node its k best pairs that are no edges yet, in both directions."""
+    return mirrored(best_pairs(nodes, least, k, known=known))
 
 
 def rescue(nodes: DataFrame, edges: DataFrame, least: float = 0.25) -> DataFrame:
     """(src, dst, weight): the best pair of each live orphan, in both directions."""
-    lost = orphans(edges, nodes)
-    pairs = related_pairs(nodes, least)
-    sides = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "score").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "score"))
-    mine = sides.join(lost.withColumnRenamed("id", "src"), "src", "left_semi")
-    best = mine.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), F.desc("dst")))).filter("r = 1")
-    mirrored = best.select("src", "dst", "score").unionByName(best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
-    return mirrored.groupBy("src", "dst").agg(F.round(F.max("score"), 4).alias("weight"))
+    return mirrored(best_pairs(nodes, least, 1, only=orphans(edges, nodes)))
 
 
 def known_type(c: Column) -> Column:

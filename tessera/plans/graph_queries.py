@@ -168,7 +168,7 @@ def related_pairs(nodes: DataFrame) -> DataFrame:
 
 @query(f"WITH {related_sql(0.46)}, {SIDES}, {TOP2.format(k=2)} {LINKED}", "nodes", "edges")
 def related_edges_top2(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph.linked(graph.related_pairs(nodes), edges)
+    return graph.linked(nodes, edges)
 
 
 RESCUE = "best AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst DESC) AS r FROM sides s WHERE src NOT IN (SELECT src FROM edges)) WHERE r = 1)"
@@ -181,7 +181,7 @@ def orphan_rescue(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @query(f"WITH {related_sql(0.25)}, {SIDES}, {TOP2.format(k=1)} {LINKED}", "nodes", "edges")
 def deep_orphan_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph.linked(graph.related_pairs(nodes, 0.25), edges, 1)
+    return graph.linked(nodes, edges, 0.25, 1)
 
 
 STATED = "stated AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM fixed WHERE type = 'contradicts' AND src <> dst)"
