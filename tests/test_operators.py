@@ -51,6 +51,51 @@ def test_related_edges(spark):
     assert graph.related_pairs(n).first().score == pytest.approx(0.68)
 
 
+def test_best_pairs(spark):
+    """Related pairs and each node's best ones against brute force: ties, known edges, short notes, more good pairs than are wanted."""
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(260):
+        base = rng.choice(rows)[1].split() if rows and rng.random() < 0.6 else []
+        words = [w if rng.random() < 0.8 else f"w{rng.randint(10, 99)}" for w in base] or [f"w{int(10 + rng.random() ** 3 * 90)}" for _ in range(rng.choice((1, 3, 8, 12, 14)))]
+        rows.append((i, " ".join(words), {"category": rng.choice("xy")}))
+    n = node(spark, *rows, (None, rows[0][1], {}))
+    known = edges(spark, *[(rng.randrange(260), rng.randrange(260), "related", 1.0) for _ in range(400)], (1, None, None, None))
+    linked = {(r.src, r.dst) for r in known.collect()}
+    sets = [set(t.split()[:12]) for _, t, _ in rows]
+
+    def score(a, b):
+        shared = len(sets[a] & sets[b])
+        return round(shared / len(sets[a] | sets[b]) + (0.18 if rows[a][2] == rows[b][2] else 0), 9) if shared else 0
+
+    scores = {(a, b): score(a, b) for a in range(260) for b in range(260) if a != b}
+    for least, k in ((0.46, 2), (0.25, 1), (0.1, 3)):
+        got = {(r.a, r.b): r.score for r in graph.related_pairs(n, least).collect()}
+        assert got == pytest.approx({p: s for p, s in scores.items() if p[0] < p[1] and s >= least})
+        want = {}
+        for a in range(260):
+            best = sorted(((s, b) for (x, b), s in scores.items() if x == a and s >= least and (a, b) not in linked), reverse=True)[:k]
+            want |= {(a, b): s for s, b in best}
+        assert {(r.src, r.dst): r.score for r in graph.best_pairs(n, least, k, known).collect()} == pytest.approx(want)
+
+
+def test_rescue_takes_the_best_pair_of_orphans_only(spark):
+    n = node(spark, (1, "aa bb cc dd", {}), (2, "aa bb cc ee", {}), (3, "aa bb cc dd", {}), (4, "xx yy", {}))
+    got = {(r.src, r.dst): r.weight for r in graph.rescue(n, edges(spark, (1, 4, None, None), (2, 4, None, None))).collect()}
+    assert got == {(3, 1): 1.18, (1, 3): 1.18}
+
+
+def test_weak_pairs_of_settled_nodes_are_not_met(spark):
+    """Notes with a good pair each, all of which share half of their words: only the good pairs come out of the join."""
+    common = " ".join(f"common{i}" for i in range(6))
+    n = node(spark, *[(i, " ".join(f"own{i // 2}x{j}" for j in range(6)) + " " + common, {}) for i in range(300)])
+    sets = graph.ranked_sets(n).withColumn("seeking", F.col("id") < 10)
+    assert graph.met_pairs(sets, 0.6, 0.18, 12).count() == 10
+    assert graph.linked(n, edges(spark), 0.25, 1).count() == 300
+
+
 def test_causal_chain(spark):
     e = edges(spark, (1, 2, "cause", 1.0), (2, 3, "cause", 1.0), (3, 1, "cause", 1.0), (3, 4, "related", 1.0))
     got = {r.id: r.depth for r in graph.causal_chain(e, spark.createDataFrame([(1,)], "id long")).collect()}
