@@ -168,6 +168,7 @@ def related_pairs(nodes: DataFrame) -> DataFrame:
 
 @query(f"WITH {related_sql(0.46)}, {SIDES}, {TOP2.format(k=2)} {LINKED}", "nodes", "edges")
 def related_edges_top2(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each node its two best pairs that are no edges yet, in both directions."""
     return graph.linked(nodes, edges)
 
 
