@@ -265,3 +265,23 @@ def test_queries_in_blocks(spark):
         got = {(r.id, r.q) for r in against_all(rows, queries, most).collect()}
         assert len(got) == 20 * 13 and against_all(rows, queries, most).count() == 20 * 13
     assert against_all(rows, queries.limit(0), 4).count() == 0
+
+
+def test_lsh_pairs(spark):
+    """Pairs of classes against the exact join, with copies, rows without a key and long sets; no token table stays in the shared folder."""
+    import os
+    import random
+
+    from tessera.runtime import shared_base
+
+    rng = random.Random(2)
+    texts = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(rng.choice((20, 60, 700)))) for _ in range(40)]
+    texts += [" ".join(w if rng.random() < 0.96 else "new" for w in [*t.split(), "end"]) for t in texts] + texts[:5]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (500, None), (501, "")], "id long, text string")
+    folder = shared_base(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(folder))
+    got = {(r.a, r.b): r.similarity for r in similarity.lsh_pairs(df, "id", "text", 0.8).collect()}
+    sets = [set(t.split()) for t in texts[:80]]
+    want = {(i, j): len(x & y) / len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j}
+    assert got == pytest.approx({p: s for p, s in want.items() if s >= 0.8}) and len(got) >= 30
+    assert not [f for f in set(os.listdir(folder)) - before if "token-sets" in f or "classes" in f]
