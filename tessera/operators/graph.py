@@ -242,9 +242,9 @@ def _groups(batches: Iterator[pa.RecordBatch], threshold: float, within: bool, k
         yield from compared(pa.Table.from_batches(rest))
 
 
-def met_pairs(sets: DataFrame, least: float, bonus: float, k: int, half: bool = False) -> DataFrame:
+def met_pairs(sets: DataFrame, least: float, bonus: float, k: int, half: bool = False, sides: tuple[bool, ...] = (True, False)) -> DataFrame:
     """(src, dst, score) of the seeking rows of `sets` (a result of `ranked_sets` with `seeking`) with all others that score
-    `least` or more; exact, each pair once, or only where src < dst.
+    `least` or more; exact, each pair once, or only where src < dst. `sides` has True for pairs within categories, False for those across.
 
     Two sets that score so share so many words that they share one of the rarest of each, by which they are grouped: once
     within categories, where the bonus lowers the similarity that is needed and the category is part of the key, and once
@@ -263,7 +263,8 @@ def met_pairs(sets: DataFrame, least: float, bonus: float, k: int, half: bool =
     counted = sets.count()
     parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted * k * 100 // (4 * TASK_BYTES)))
     out = None
-    for threshold, within in ((max(least - bonus, 1e-9), True), (least, False)):
+    for within in sides:
+        threshold = max(least - bonus, 1e-9) if within else least
         # The smallest set that one of n words can be similar to.
         any_size = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-6).cast("int"))
         few = rows(small, threshold, within, any_size, 1)
@@ -301,14 +302,19 @@ def best_pairs(nodes: DataFrame, least: float, most: int, known: DataFrame | Non
     path = work_path(nodes.sparkSession, "sought")
     sought = materialise(sought, "sought", path)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), F.desc("dst")))
+    top = lambda pairs: pairs.withColumn("r", rank).filter(F.col("r") <= most)
     known = known.select("src", "dst").distinct() if known is not None else None
     found = []
     for level in [*(x for x in LEVELS if x > least), least]:
-        pairs = met_pairs(sought, level, bonus, k)
-        if known is not None:
-            pairs = pairs.join(known, ["src", "dst"], "left_anti")
+        sides = []
+        for within in (True, False):  # one after the other, as each shuffles the sets
+            pairs = met_pairs(sought, level, bonus, k, sides=(within,))
+            if known is not None:
+                pairs = pairs.join(known, ["src", "dst"], "left_anti")
+            with freed(nodes.sparkSession):
+                sides.append(materialise(top(pairs).drop("r"), "side"))
         with freed(nodes.sparkSession):
-            best = materialise(pairs.withColumn("r", rank).filter(F.col("r") <= most), "best")
+            best = materialise(top(sides[0].unionByName(sides[1])), "best")
         if level == least:
             found.append(best)
             break

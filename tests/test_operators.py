@@ -87,6 +87,21 @@ def test_rescue_takes_the_best_pair_of_orphans_only(spark):
     assert got == {(3, 1): 1.18, (1, 3): 1.18}
 
 
+def test_best_pairs_are_met_on_one_side_at_a_time(spark, monkeypatch):
+    """Pairs within categories and across them are two shuffles of the sets, never on disk together; the better side counts."""
+    met, sides = graph.met_pairs, []
+
+    def noted(*args, **named):
+        sides.append(named.get("sides", (True, False)))
+        return met(*args, **named)
+
+    monkeypatch.setattr(graph, "met_pairs", noted)
+    n = node(spark, (1, "aa bb cc dd", {"category": "x"}), (2, "aa bb cc ee", {"category": "x"}), (3, "aa bb cc dd", {"category": "y"}), (4, "aa bb ff gg", {"category": "y"}))
+    got = {(r.src, r.dst): r.score for r in graph.best_pairs(n, 0.25, 1).collect()}
+    assert got == {(1, 3): 1.0, (2, 1): 0.78, (3, 1): 1.0, (4, 3): pytest.approx(0.513333333)}
+    assert {len(x) for x in sides} == {1} and {*sides} == {(True,), (False,)}
+
+
 def test_weak_pairs_of_settled_nodes_are_not_met(spark):
     """Notes with a good pair each, all of which share half of their words: only the good pairs come out of the join."""
     common = " ".join(f"common{i}" for i in range(6))
